@@ -78,7 +78,7 @@ def _automaton() -> ahocorasick.Automaton:
 _CONFIRM = [re.compile(p) for _, p in NOTICES]
 _HEX = re.compile(r"(?:0x[0-9a-f]{1,8},\s?){30}", re.I)
 _ESCAPES = re.compile(r"(?:\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|\\[0-7]{3}){40}", re.I)
-_NUMBERS = re.compile(r"(?:-?\d+(?:\.\d+)?(?:e-?\d+)?,\s?){24}", re.I)
+_NUMBERS = re.compile(r"(?:-?\d+(?:\.\d+)?(?:e-?\d+)?,\s?){18}", re.I)
 _BASE64 = re.compile(r"[\"'`](?:data:[\w/+.-]+;base64,)?[A-Za-z0-9+/]{140,}={0,2}[\"'`]")
 _DENSE = re.compile(r"[;{}(),=&|<>?:!\[\].+*-]")
 
