@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.llm import bpe, generated, leaks, secrets
+from scanloom.llm import bpe, generated, leaks, pii, secrets
 from scanloom.session import table
 
 
@@ -46,5 +46,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("edits = 0").select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p6_ids, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_data(table(spark, d, "documents")).select("doc_id", "pii_type", "start_pos").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p5_found, p6_ids, p7_found, p7_leaks, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}
