@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scanloom.plans import general
+from scanloom.plans import findings, general, packages, texts
 
-_MODULES = (general,)
+_MODULES = (general, findings, texts, packages)
 
 
 def queries() -> dict:
