@@ -15,6 +15,15 @@ def split_lines(text: Column) -> Column:
     return F.when(last_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+# Fixed value: a line without any visible character.
+BLANK = r"^[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]*$"
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, even where ``use`` names it inside a higher-order function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mask_middle(text: Column, first: int = 4, last: int = 4) -> Column:
     """First and last characters shown, stars between; shorter texts become stars."""
     n = F.length(text)
@@ -25,10 +34,13 @@ def mask_middle(text: Column, first: int = 4, last: int = 4) -> Column:
 
 def shannon(text: Column) -> Column:
     """Entropy of a text's characters in bits; 0 for the empty text, null for null."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    terms = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(-F.aggregate(terms, F.lit(0.0), lambda acc, p: acc + p * F.log2(p)))
+
+    def bits(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        terms = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+        return -F.aggregate(terms, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
+
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(bind(F.filter(F.split(text, ""), lambda c: c != ""), bits))
 
 
 def charset(value: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from scanloom.functions.text import BLANK, bind
+
 def _file():
     return W.partitionBy("file_path").orderBy("line_number")
 
@@ -47,7 +49,7 @@ def deep_nesting(lines: DataFrame, limit: int = 5, per_file: int = 5) -> DataFra
 
 
 def file_lengths(lines: DataFrame, limit: int = 0) -> DataFrame:
-    return lines.groupBy("file_path").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("line") != "").alias("code_lines")).where(F.col("code_lines") > limit)
+    return lines.groupBy("file_path").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("line").rlike(BLANK)).alias("code_lines")).where(F.col("code_lines") > limit)
 
 
 # What adds a branch to a function.
@@ -63,7 +65,7 @@ def functions_of(lines: DataFrame) -> DataFrame:
     name = F.regexp_extract("line", DEFINITION, 1)
     indent = F.length("line") - F.length(F.ltrim("line"))
     branch = sum((F.col("line").rlike(p).cast("int") for p in BRANCHES), F.lit(0))
-    marked = lines.withColumns({"_name": F.when(name != "", name), "_indent": indent, "_branch": branch, "_code": (F.trim("line") != "").cast("int")})
+    marked = lines.withColumns({"_name": F.when(name != "", name), "_indent": indent, "_branch": branch, "_code": (~F.col("line").rlike(BLANK)).cast("int")})
     marked = marked.withColumn("_f", F.count("_name").over(_file().rowsBetween(W.unboundedPreceding, 0))).where("_f > 0")
     params = F.regexp_extract(F.first("line"), r"\(([^)]*)\)", 1)
     listed = F.filter(F.transform(F.split(params, ","), lambda p: F.trim(p)), lambda p: ~p.isin("", "self", "cls", "this"))
@@ -117,10 +119,12 @@ def token_fingerprints(code: Column, n: int = 5) -> Column:
     """Set of SHA-1 hashes of every ``n`` tokens in a row, comments left out."""
     bare = F.regexp_replace(code, r"#[^\n]*|//[^\n]*", "")
     tokens = F.regexp_extract_all(bare, F.lit(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\r\f\x0B]"), F.lit(0))
-    count = F.size(tokens) - n + 1
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.sha1(F.array_join(F.slice(tokens, i, n), "\u001f"))))
-    )
+
+    def hashes(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.sha1(F.array_join(F.slice(t, i, n), "\u001f")))))
+
+    return bind(tokens, hashes)
 
 
 def jaccard(a: Column, b: Column) -> Column:

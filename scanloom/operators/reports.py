@@ -63,7 +63,7 @@ def risk_grade(findings: DataFrame, files: DataFrame, by: str) -> DataFrame:
     grade = None
     for limit, letter in GRADE_LIMITS:
         grade = F.when(score <= limit, letter) if grade is None else grade.when(score <= limit, letter)
-    return rows.select(by, F.round("penalty", 2).alias("penalty_total"), F.round(score, 3).alias("score"), grade.otherwise("F").alias("grade"))
+    return rows.select(by, F.col("penalty").alias("penalty_total"), F.round(score, 6).alias("score"), grade.otherwise("F").alias("grade"))
 
 
 def heatmap(findings: DataFrame, by: str = "file_path") -> DataFrame:

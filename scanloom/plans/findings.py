@@ -226,7 +226,7 @@ SQL = {
     "severity_pivot_heatmap": CURRENT + f"SELECT *, critical * 10 + high * 5 + medium * 2 + low AS risk FROM (SELECT file_path, {_COUNTS} FROM cf GROUP BY 1)",
     "risk_grade": CURRENT + f""", f AS (SELECT id AS scan_id, max(files_scanned) AS n FROM scans GROUP BY 1), p AS (SELECT scan_id, sum(round({_PENALTY} * 1000)::BIGINT) AS m FROM cf GROUP BY 1),
 q AS (SELECT scan_id, coalesce(m, 0) / 1000.0 AS pen, (coalesce(m, 0) / 1000.0)::DOUBLE / greatest(coalesce(n, 1), 1) AS s FROM f LEFT JOIN p USING (scan_id))
-SELECT scan_id, round(pen, 2)::DOUBLE AS penalty_total, round(s, 3) AS score, {_GRADE} AS grade FROM q""",
+SELECT scan_id, pen::DOUBLE AS penalty_total, round(s, 6) AS score, {_GRADE} AS grade FROM q""",
     "quality_gate": CURRENT + """, q AS (SELECT scan_id, count(*) AS total, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high FROM cf GROUP BY 1)
 SELECT scan_id, total, critical, high, (critical <= 2 AND high <= 10 AND total <= 200) AS passed, concat_ws(',', CASE WHEN critical > 2 THEN 'critical' END, CASE WHEN high > 10 THEN 'high' END, CASE WHEN total > 200 THEN 'total' END) AS failures FROM q""",
     "longitudinal_delta": """WITH s AS (SELECT DISTINCT ON (id, target) id, target, scan_timestamp, total_vulns FROM scans),

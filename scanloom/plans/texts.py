@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from scanloom.functions.text import split_lines, charset, shannon
+from scanloom.functions.text import BLANK, charset, shannon, split_lines
 from scanloom.operators import code, detect, reports
 from scanloom.session import table
 
@@ -123,7 +123,7 @@ _TOKENS = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\r\f\x0B]"
 
 SQL = {
     "lines_explode": _LINES + "SELECT doc_id, line_number, line FROM l",
-    "file_length": _LINES + "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line) <> '') AS code_lines FROM l GROUP BY 1 HAVING count(*) FILTER (trim(line) <> '') > 0",
+    "file_length": _LINES + "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(line, '" + BLANK + "')) AS code_lines FROM l GROUP BY 1 HAVING code_lines > 0",
     "brace_depth": _LINES + f"SELECT doc_id, line_number, depth FROM (SELECT doc_id, line_number, line, {_DEPTH} AS depth FROM l) WHERE regexp_matches(line, '[{{}}]')",
     "deep_lines": _LINES + f"""SELECT doc_id, max(raw - low)::BIGINT AS max_depth FROM (SELECT doc_id, raw, least(min(raw) OVER (PARTITION BY doc_id ORDER BY line_number), 0) AS low FROM (SELECT doc_id, line_number, {_DEPTH} AS raw FROM l)) GROUP BY 1""",
     "function_context": _LINES + f"""SELECT doc_id, line_number, c AS function_context FROM (SELECT doc_id, line_number, last_value(nm IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS c
