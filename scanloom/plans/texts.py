@@ -46,11 +46,9 @@ def duplication_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of each document to the one before it (by id) of its type, over sets of five tokens."""
-    docs = table(spark, d, "documents").where("text is not null and doc_type is not null").select("doc_id", "doc_type", code.token_fingerprints(F.col("text")).alias("f"))
-    before = W.partitionBy("doc_type").orderBy("doc_id")
-    pairs = docs.select("doc_id", "f", F.lag("f").over(before).alias("g")).where("g is not null")
-    return pairs.select("doc_id", F.round(code.jaccard(F.col("f"), F.col("g")), 6).alias("similarity"))
+    """How like each finding's line is to its snippet, over sets of five tokens."""
+    f = table(spark, d, "findings").where("line_content is not null and snippet is not null")
+    return f.select("row_id", F.round(code.jaccard(code.token_fingerprints(F.col("line_content")), code.token_fingerprints(F.array_join("snippet", "\n"))), 6).alias("similarity"))
 
 
 def anomaly_score(spark: SparkSession, d: str) -> DataFrame:
@@ -136,10 +134,10 @@ b AS (SELECT doc_id, line_number, (n <> '' AND NOT regexp_matches(n, '^[{}()\[\]
 p AS (SELECT doc_id, line_number, min(line_number) OVER (PARTITION BY doc_id, fp ORDER BY line_number RANGE BETWEEN 3 FOLLOWING AND UNBOUNDED FOLLOWING) AS dup FROM b WHERE ok AND k = 3),
 r AS (SELECT doc_id, line_number, dup, dup - line_number AS d, line_number - row_number() OVER (PARTITION BY doc_id, dup - line_number ORDER BY line_number) AS g FROM p WHERE dup IS NOT NULL)
 SELECT doc_id, min(line_number) AS line_start, min(dup) AS duplicate_start, count(*) + 2 AS lines_duplicated FROM r GROUP BY doc_id, d, g""",
-    "shingle_jaccard": rf"""WITH t AS (SELECT doc_id, doc_type, regexp_extract_all(regexp_replace(text, '#[^\n]*|//[^\n]*', '', 'g'), '{_TOKENS}') AS k FROM documents WHERE text IS NOT NULL AND doc_type IS NOT NULL),
-f AS (SELECT doc_id, doc_type, list_distinct(list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], chr(31)))) AS f FROM t),
-p AS (SELECT doc_id, f, lag(f) OVER (PARTITION BY doc_type ORDER BY doc_id) AS g FROM f)
-SELECT doc_id, round(CASE WHEN len(f) + len(g) = 0 THEN 1.0 ELSE len(list_intersect(f, g))::DOUBLE / len(list_distinct(list_concat(f, g))) END, 6) AS similarity FROM p WHERE g IS NOT NULL""",
+    "shingle_jaccard": rf"""WITH t AS (SELECT row_id, regexp_extract_all(regexp_replace(line_content, '#[^\n]*|//[^\n]*', '', 'g'), '{_TOKENS}') AS k,
+  regexp_extract_all(regexp_replace(array_to_string(snippet, chr(10)), '#[^\n]*|//[^\n]*', '', 'g'), '{_TOKENS}') AS j FROM findings WHERE line_content IS NOT NULL AND snippet IS NOT NULL),
+p AS (SELECT row_id, list_distinct(list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], chr(31)))) AS f, list_distinct(list_transform(range(1, len(j) - 3), lambda i: array_to_string(j[i:i + 4], chr(31)))) AS g FROM t)
+SELECT row_id, round(CASE WHEN len(f) + len(g) = 0 THEN 1.0 ELSE len(list_intersect(f, g))::DOUBLE / len(list_distinct(list_concat(f, g))) END, 6) AS similarity FROM p""",
     "anomaly_score": _LINES + r""", a AS (SELECT doc_id, avg(length(line)) AS al, sum(len(regexp_extract_all(line, '(?i)\b(TODO|FIXME|generated|as an ai)\b')))::BIGINT AS markers FROM l GROUP BY 1), m AS (SELECT avg(al) AS mean FROM a),
 s AS (SELECT doc_id, markers, abs(al - mean) / greatest(mean, 1.0) + markers * 0.4::DOUBLE AS sc FROM a, m) SELECT doc_id, markers, round(sc, 3) AS score FROM s WHERE sc > 0.8""",
     "entropy_value": """WITH c AS (SELECT row_id, secret_value AS v, unnest(CASE WHEN secret_value = '' THEN [NULL] ELSE string_split(secret_value, '') END) AS c FROM entropy_findings WHERE secret_value IS NOT NULL),
