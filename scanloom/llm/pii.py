@@ -29,7 +29,7 @@ _KIND = {"name": ("BN", "IN"), "address": ("BA", "IA"), "email": ("E", "E"), "ph
 TYPES = {"BN": "person_name", "BA": "street_address", "E": "email", "P": "phone", "D": "id_number"}
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 #: Weight of a skip edge and rounds of messages.
-SKIP_WEIGHT, SKIP_ROUNDS = 1.5, 2
+SKIP_WEIGHT, SKIP_ROUNDS = 3.0, 2
 EPOCHS, PARTS = 9, 16
 KEPT_TYPES = 300_000
 

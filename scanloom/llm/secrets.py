@@ -55,12 +55,12 @@ _JOIN = re.compile(r"([\"'`])\s*(?:\+|\.{1,2}|&)\s*([\"'`])")
 _Q = r"(?:\"(?P<d>(?:[^\"\\]|\\.)*)\"|'(?P<s>(?:[^'\\]|\\.)*)'|`(?P<b>[^`]*)`)"
 _BARE = r"(?P<w>[^\s\"'`,;(){}\[\]<>|]+)(?![^\s\"'`,;){}\]<>|])"
 _NAMED = re.compile(
-    r"(?P<name>[A-Za-zÀ-ÿ_$][\wÀ-ÿ$-]*)(?:[\"'`\]]{0,2})"
+    r"(?<![\w$-])(?P<name>[A-Za-zÀ-ÿ_$][\wÀ-ÿ$-]{0,120})(?:[\"'`\]]{0,2})"
     r"(?:\s*:\s*(?:str|string|String|\w*String))?"
     r"(?:\s*(?::=|=>|=|:)\s*|\s+(?=[\"'])|[\"']\s*,\s*(?:(?:use)?[Vv]alue\s*[:=]\s*)?|\s*,\s*useValue\s*:\s*|\"\s+value=|[\"']?>)"
     rf"(?:{_Q}|{_BARE})"
 )
-_USERINFO = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@\"'`]*:(?P<v>[^\s@\"'`/]+)@|[\"'\s]\w+:(?P<v2>[^\s@\"'`/]+)@(?:tcp|unix)\(")
+_USERINFO = re.compile(r"(?<![a-zA-Z0-9+.-])[a-zA-Z][a-zA-Z0-9+.-]{0,30}://[^\s:/@\"'`]*:(?P<v>[^\s@\"'`/]+)@|[\"'\s]\w+:(?P<v2>[^\s@\"'`/]+)@(?:tcp|unix)\(")
 _SCHEME = re.compile(r"(?i)\b(?P<scheme>bearer|basic|token)\s+(?P<v>[A-Za-z0-9._~+/=-]{8,})")
 _CALLS = re.compile(r"(?i)(?:set_?(?:password|passwd|pass|token|secret|api_?key|credentials?)|(?:basic|digest)_?auth\w*|login|log_in|signin|authenticate|passwordauthentication|getconnection|credentials?|pdo|connect)\s*\(")
 _SQL = re.compile(rf"(?i)\b(?:password|identified\s+by)\s+{_Q}")
