@@ -151,6 +151,13 @@ def _allowed() -> np.ndarray:
     return t
 
 
+#: What a token's form rules out: an address is no phone, a number no address, other tokens are neither.
+_FORM_OF = {k: 1 if k == "email" else 2 for k in _CANDIDATES}
+_FORM = np.zeros((3, len(LABELS)), np.float32)
+_FORM[0, [LABELS.index(x) for x in "EPD"]] = -1e4
+_FORM[1, [LABELS.index(x) for x in "PD"]] = -1e4
+_FORM[2, LABELS.index("E")] = -1e4
+
 _START = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS], np.float32)
 
 
@@ -282,7 +289,7 @@ class Tagger:
         doc = np.repeat(np.arange(len(batch)), [len(d) for d in batch])
         kinds = [t[3] for t in flat]
         keys = [token_key(t[0], t[3]) for t in flat]
-        node = self._scores(keys, doc)
+        node = self._scores(keys, doc) + _FORM[[_FORM_OF.get(k, 0) for k in kinds]]
         chains = _chains(np.array([x for d in batch for x in chain_starts(d)]), doc)
         groups = skip_groups(keys, kinds, doc)
         linked = np.flatnonzero(groups >= 0)
