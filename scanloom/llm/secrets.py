@@ -66,6 +66,7 @@ _CALLS = re.compile(r"(?i)(?:set_?(?:password|passwd|pass|token|secret|api_?key|
 _SQL = re.compile(rf"(?i)\b(?:password|identified\s+by)\s+{_Q}")
 _FLAG = re.compile(rf"(?i)(?:\bsshpass\s+-p\s*|\bdocker\s+login\b.*?\s-p\s+|\bmysql\b.*?\s-p|--?(?:password|passwd|pass|token|api-?key|secret)(?:\s+|=))(?:{_Q}|{_BARE})")
 _CURL_USER = re.compile(rf"(?:\s-u|--user)\s*[\"']?[\w.@-]+:(?P<v>[^\s\"'`]+)")
+_NOTED = re.compile(rf"\bvalue\s*[:=]\s*{_Q}\s*,?\s*(?:#|//)[^\n]*\b(?:token|secret|password|api[_ ]?key|credential|senha|clave)\b", re.I)
 _HANDOVER = re.compile(r"(?i)\b(?:svc_\w+|\w+_bot|admin|root|user\w*)\s*/\s*(?P<v>[^\s\"'`/]{6,})")
 _COMMENT = re.compile(r"(?:^|\s)(?://|#|/\*|--|<!--|;|%)\s*.*?[:=]\s*(?P<v>[A-Za-z0-9+/=_.~-]{12,})\s*(?:\*/|-->)?\s*$")
 _FALLBACK = re.compile(rf"(?:\bor\b|\|\||\?\?)\s*{_Q}")
@@ -122,7 +123,11 @@ def bare_secret(value: str) -> bool:
         return False
     if re.match(r"^[a-z]+(?:-[a-z]+){3,}$", value):
         return True
-    return bool(re.search(r"\d", value)) and classes(value) >= 2 and not re.match(r"^[$@&*]|^[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)+$|^[A-Za-z_]\w*_\w*$|^\d[\d.]*\w?$", value)
+    if value[0] in "$@&*" or re.match(r"^\d[\d.]*\w?$", value):
+        return False
+    if re.match(r"^[A-Za-z_]\w*(?:(?:\.|->|::)[A-Za-z_]\w*)*$", value) and re.search(r"[._>:]", value):
+        return classes(value) == 4
+    return classes(value) >= 2 and bool(re.search(r"\d", value)) or classes(value) >= 3 and bool(re.search(r"[!%+#^~*@&/=]", value))
 
 
 def random_value(value: str) -> bool:
@@ -211,6 +216,10 @@ def _spans(line: str) -> list[tuple[int, int, str]]:
             pass
         elif random_value(m.group("v")) and len(m.group("v")) >= 16 or handed and _HEX.match(m.group("v")) or password_value(m.group("v")) and re.search(r"(?i)pass|pw|login|senha|contrase|clave", line[: m.start("v")]):
             add(*m.span("v"), "comment")
+    for m in _NOTED.finditer(line):
+        span = _group(m)
+        if literal_secret(line[slice(*span)]):
+            add(*span, "noted")
     for m in _FALLBACK.finditer(line):
         span = _group(m)
         v = line[slice(*span)]
