@@ -264,7 +264,7 @@ LOCKFILES = {
 def _format(name: str, table: dict) -> Callable | None:
     low = name.lower()
     if low.endswith(".csproj"):
-        return csproj if table is MANIFESTS else None
+        return csproj if "pom.xml" in table else None
     if re.match(r"requirements[\w.-]*\.txt$", low):
         low = "requirements.txt"
     return table.get(low)

@@ -18,7 +18,7 @@ def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, rules:
     and publishes findings and tree together, so a batch that is run again after a failure adds nothing.
     """
     files = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", "*").option("recursiveFileLookup", "true").load(folder)
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
         .select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("at"))
     )
 
