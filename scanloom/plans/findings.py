@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scanloom.functions.paths import path_form
 from scanloom.operators import baseline, reports, rules
 from scanloom.operators.snapshots import SEVERITIES
-from scanloom.session import table
+from scanloom.session import spread, table
 
 PATH = "regexp_replace(replace({0}, '\\', '/'), '^(\\./+)+', '')"
 _P = PATH.format("file_path")
@@ -27,7 +27,7 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
 
 def _source_lines(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "findings")
-    return f.select("row_id", path_form(F.col("file_path")).alias("file_path"), "language", F.col("line_content").alias("line")).where("line is not null")
+    return spread(f.select("row_id", path_form(F.col("file_path")).alias("file_path"), "language", F.col("line_content").alias("line")).where("line is not null"))
 
 
 def scan_findings(spark: SparkSession, d: str) -> DataFrame:

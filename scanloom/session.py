@@ -43,3 +43,14 @@ def broadcast_if_small(df, rows: int, row_bytes: int, limit: int = 64 << 20):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def spread(df):
+    """``df`` over enough tasks for work that is heavy per row.
+
+    A source of few files or row groups gives few tasks, however many cores there are.  Where a scan gives fewer than
+    two tasks a core its rows are dealt out evenly; a large source has more tasks than that and is left alone, so this
+    adds no shuffle at scale.  Only for frames without a shuffle of their own, whose tasks are known before they run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
