@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from scanloom.session import spread
+
 #: Where the public vocabularies lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -210,4 +212,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ids = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

@@ -19,6 +19,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from scanloom.session import spread
+
 WINDOW = 13
 EDITS = 2
 #: Characters of item text that one block may hold.
@@ -153,6 +155,6 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int =
                     [pa.array(doc, b.schema.field(0).type), pa.array(item, pa.int64()), pa.array(dist, pa.int32())], names=["doc_id", "item_id", "edits"]
                 )
 
-        parts.append(docs.select("doc_id", "text").where("text is not null").mapInArrow(run, kinds))
+        parts.append(spread(docs.select("doc_id", "text").where("text is not null")).mapInArrow(run, kinds))
     out = reduce(DataFrame.unionByName, parts)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from scanloom.llm import pii_training
+from scanloom.session import spread
 
 LABELS = ("O", "BN", "IN", "BA", "IA", "E", "P", "D")
 _KIND = {"name": ("BN", "IN"), "address": ("BA", "IA"), "email": ("E", "E"), "phone": ("P", "P"), "id": ("D", "D")}
@@ -510,7 +511,7 @@ def personal_data(docs: DataFrame, sentences: int = pii_training.SENTENCES) -> D
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "pii_type", "start_pos", "end_pos"])
 
-    return docs.where("text is not null and text <> ''").select("doc_id", "text").mapInArrow(run, "doc_id long, pii_type string, start_pos long, end_pos long")
+    return spread(docs.where("text is not null and text <> ''").select("doc_id", "text")).mapInArrow(run, "doc_id long, pii_type string, start_pos long, end_pos long")
 
 
 def redacted(docs: DataFrame, sentences: int = pii_training.SENTENCES) -> DataFrame:
@@ -526,4 +527,4 @@ def redacted(docs: DataFrame, sentences: int = pii_training.SENTENCES) -> DataFr
                 out += [None if t is None else redact(t, f) for t, f in zip(texts, find(tagger, texts), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, text string")
