@@ -67,8 +67,6 @@ def functions_of(lines: DataFrame) -> DataFrame:
     branch = sum((F.col("line").rlike(p).cast("int") for p in BRANCHES), F.lit(0))
     marked = lines.withColumns({"_name": F.when(name != "", name), "_indent": indent, "_branch": branch, "_code": (~F.col("line").rlike(BLANK)).cast("int")})
     marked = marked.withColumn("_f", F.count("_name").over(_file().rowsBetween(W.unboundedPreceding, 0))).where("_f > 0")
-    params = F.regexp_extract(F.first("line"), r"\(([^)]*)\)", 1)
-    listed = F.filter(F.transform(F.split(params, ","), lambda p: F.trim(p)), lambda p: ~p.isin("", "self", "cls", "this"))
     return (
         marked.groupBy("file_path", "_f")
         .agg(
