@@ -12,18 +12,20 @@ from scanloom.workdir import materialise
 HIGH_RISK = ("owner", "assumerole", "genericall", "writedacl", "writeowner", "addmember", "passrole", "admin", "forcechangepassword")
 
 
-def closure(edges: DataFrame, keys: list[str], max_depth: int = 20) -> DataFrame:
-    """keys, src, dst, depth: every pair that a path of at most ``max_depth`` edges joins, with its least length.
+def closure(edges: DataFrame, keys: list[str], max_depth: int | None = 20) -> DataFrame:
+    """keys, src, dst, depth: every pair that a path of at most ``max_depth`` edges (None: any number) joins, with its least length.
 
     Doubling: after round n all pairs up to 2^n edges are known, so the rounds are logarithmic in the depth.  Each
     round joins on the middle node and keeps the least length; cycles end by themselves.
     """
     known = materialise(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct().withColumn("depth", F.lit(1)), "closure")
     reach = 1
-    while reach < max_depth:
+    while max_depth is None or reach < max_depth:
         a = known.select(*keys, "src", F.col("dst").alias("mid"), F.col("depth").alias("d1"))
         b = known.select(*keys, F.col("src").alias("mid"), "dst", F.col("depth").alias("d2"))
-        longer = a.join(b, [*keys, "mid"]).select(*keys, "src", "dst", (F.col("d1") + F.col("d2")).alias("depth")).where(F.col("depth") <= max_depth)
+        longer = a.join(b, [*keys, "mid"]).select(*keys, "src", "dst", (F.col("d1") + F.col("d2")).alias("depth"))
+        if max_depth is not None:
+            longer = longer.where(F.col("depth") <= max_depth)
         nxt = materialise(known.unionByName(longer).groupBy(*keys, "src", "dst").agg(F.min("depth").alias("depth")), "closure")
         if nxt.count() == known.count():
             return nxt

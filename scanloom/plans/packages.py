@@ -74,11 +74,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dep_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(_edges(spark, d), ["lockfile"], 8)
+    return graph.closure(_edges(spark, d), ["lockfile"], None)
 
 
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    return graph.impact(graph.closure(_edges(spark, d), ["lockfile"], 8), ["lockfile"])
+    return graph.impact(graph.closure(_edges(spark, d), ["lockfile"], None), ["lockfile"])
 
 
 def tree_summary(spark: SparkSession, d: str) -> DataFrame:
