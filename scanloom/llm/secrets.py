@@ -1,7 +1,6 @@
 """Credentials in source lines: find each secret value and replace it by a placeholder of its own shape.
 
-A keyword automaton decides which lines are looked at.  Values in issuers' formats are matched anywhere and
-their structure is checked; other values count by their place: an assignment to a secret's name, a URL's or
+Every line is searched.  Values in issuers' formats are matched anywhere and their structure is checked; other values count by their place: an assignment to a secret's name, a URL's or
 connection string's password, an authorization scheme, a login call, a command-line flag, a comment that
 hands over a login.  Every candidate value must look like a value: lookups, prompts, placeholders, masked
 values, names and digests with a prefix don't.  A value split into adjoining literals is put together first.
@@ -17,7 +16,6 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,13 +37,6 @@ NAME_ENDS = (
 NAME_LAST_WORDS = ("pass", "pw", "pwd", "psw")
 NAME_NEGATIVE = frozenset("hint label placeholder header headers env public csrf xsrf dummy".split())
 
-# The automaton's keywords (lower case).
-KEYWORDS = (
-    "pass", "pwd", "pw", "secret", "token", "senha", "contrase", "clave", "llave", "chave", "bearer", "basic ", "auth", "credential", "creds", "key", "login", "svc_", "_bot", "://",
-    "identified by", "private", "\U0001f511", "remove before", "todo", "fixme", " or \"", " or '", "|| \"", "|| '", "||'", "||\"", "?? \"", "?? '", "@tcp(", "ghp_", "gho_", "ghu_", "ghs_", "ghr_",
-    "github_pat_", "glpat-", "xox", "akia", "asia", "aiza", "k_live_", "k_test_", "npm_", "eyj", "sg.", "pypi-", "hf_", "tmx_", "qvx-", "usevalue",
-)
-
 _EDGE, _END = r"(?<![A-Za-z0-9_-])", r"(?![A-Za-z0-9_-])"
 _ISSUER = re.compile(_EDGE + "(?:" + "|".join(f"(?P<{n}>{p})" for n, p in ISSUERS) + ")" + _END)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
@@ -299,25 +290,12 @@ def secret_value(name: str | None, value: str) -> bool:
     return name is not None and secret_name(name) and literal_secret(value)
 
 
-def _automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for k in KEYWORDS:
-        a.add_word(k, 0)
-    a.make_automaton()
-    return a
-
-
 #: Distinct lines whose findings a worker keeps, and the longest line it keeps.
 KEPT_LINES, KEPT_CHARS = 50_000, 1_000
 
 
 def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    automaton = _automaton()
-
-    def search(line: str) -> list:
-        return find_secrets(line) if next(automaton.iter(line.lower()), None) is not None else []
-
-    kept = lru_cache(KEPT_LINES)(search)
+    kept = lru_cache(KEPT_LINES)(find_secrets)
     for b in batches:
         rows = []
         for field, row_id, name, text in zip(*[b.column(n).to_pylist() for n in range(4)], strict=True):
@@ -327,7 +305,7 @@ def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 else:
                     inner = [([(0, len(text))], "value")]
             else:
-                inner = kept(text) if len(text) <= KEPT_CHARS else search(text)
+                inner = kept(text) if len(text) <= KEPT_CHARS else find_secrets(text)
             if inner:
                 clean = redact(text, inner)
                 rows += [(field, row_id, pieces[0][0] + 1, kind, clean) for pieces, kind in inner]

@@ -55,3 +55,16 @@ def test_frames(spark):
     got = {(r["field_name"], r["row_id"], r["start_pos"]) for r in secrets.credentials([("l", df), ("x.secret_value", v)]).collect()}
     assert got == {("l", 1, 10), ("l", 4, 300_014), ("l", 5, 12), ("x.secret_value", 6, 1), ("x.secret_value", 9, 1)}
     assert secrets.credentials([("l", df.limit(0))]).count() == 0
+
+
+def test_every_line_is_searched(spark):
+    """No shape needs another word beside it."""
+    cases = [
+        (" mysql -h db-7.quorvex.example -u posting -pCactusGecko1720! digest", "CactusGecko1720!"), ("curl -u ana:51walnut*Anvil h", "51walnut*Anvil"), ("curl --user ana:51walnut*Anvil h", "51walnut*Anvil"),
+        ("connect(h, 'BanjoLantern6542!')", "BanjoLantern6542!"), ("DriverManager.getConnection(u, 'BanjoLantern6542!')", "BanjoLantern6542!"), ("new PDO($dsn, 'BanjoLantern6542!')", "BanjoLantern6542!"), ("signin('BanjoLantern6542!')", "BanjoLantern6542!"),
+        ("# admin / qu0artz-GRAVEL93", "qu0artz-GRAVEL93"), ("# root / qu0artz-GRAVEL93", "qu0artz-GRAVEL93"), ("# user7 / qu0artz-GRAVEL93", "qu0artz-GRAVEL93"), ("psw = 'tu0rnip-VELVET39'", "tu0rnip-VELVET39"), ("to_ken = 'tu0rnip-VELVET39'", "tu0rnip-VELVET39"),
+        ("open('sa', 'tu0rnip-VELVET39')", "tu0rnip-VELVET39"), ("dsn = 'ana:84orchid*Banjo@unix(/s)/x'", "84orchid*Banjo"), ("x = y or  'Zk81bQmXw02LpRt7Vc'", "Zk81bQmXw02LpRt7Vc"), ("# build = Zk81bQmXw02LpRt7Vc", "Zk81bQmXw02LpRt7Vc"),
+    ]
+    df = spark.createDataFrame([(n, None, line) for n, (line, _) in enumerate(cases)], "row_id long, name string, text string")
+    got = {(r["row_id"], r["start_pos"]) for r in secrets.credentials([("l", df)]).collect()}
+    assert got == {(n, line.index(value) + 1) for n, (line, value) in enumerate(cases)}
