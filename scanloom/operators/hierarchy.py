@@ -59,9 +59,8 @@ def upward_sizes(children: dict[str, list[str]]) -> dict[str, int]:
     return done
 
 
-def on_cycles(children: dict[str, list[str]], among: set[str]) -> set[str]:
-    """Nodes of ``among`` that reach themselves: strongly connected components of several, or self links."""
-    found = {n for n in among if n in children[n]}
+def components(children: dict[str, list[str]], among: set[str]) -> Iterator[list[str]]:
+    """Strongly connected components of ``among``, each before those it reaches."""
     order: list[str] = []
     seen: set[str] = set()
     back: dict[str, list[str]] = {n: [] for n in among}
@@ -96,6 +95,13 @@ def on_cycles(children: dict[str, list[str]], among: set[str]) -> set[str]:
                 if p not in taken:
                     taken.add(p)
                     todo.append(p)
+        yield part
+
+
+def on_cycles(children: dict[str, list[str]], among: set[str]) -> set[str]:
+    """Nodes of ``among`` that reach themselves: strongly connected components of several, or self links."""
+    found = {n for n in among if n in children[n]}
+    for part in components(children, among):
         if len(part) > 1:
             found.update(part)
     return found
@@ -347,3 +353,102 @@ def _range_pairs(occ: DataFrame, cells: int) -> DataFrame:
     points = points.withColumn("block", F.floor(F.col("p") / F.pow(F.lit(float(cells)), F.col("level")).cast("long")))
     depth: Column = F.size(F.split("_dp", SEPARATOR)) - F.size(F.split("_ap", SEPARATOR))
     return blocks.join(points, ["g", "level", "block"]).where("p > a and p < b").withColumn("distance", depth)
+
+
+# ---------------------------------------------------------------- descendants of every node
+
+
+def _reached(children: dict[str, list[str]], starts: list[str]) -> set[str]:
+    seen, todo = set(starts), list(starts)
+    while todo:
+        for c in children[todo.pop()]:
+            if c not in seen:
+                seen.add(c)
+                todo.append(c)
+    return seen
+
+
+def _longest(start: str, inside: dict[str, list[str]], beyond: dict[str, int]) -> int:
+    """Longest way from ``start`` that repeats no node of its component, and on from where it leaves it."""
+    best, path, on_path = beyond[start], [start], {start}
+    stack = [iter(inside[start])]
+    while stack:
+        child = next((c for c in stack[-1] if c not in on_path), None)
+        if child is None:
+            stack.pop()
+            on_path.discard(path.pop())
+            continue
+        path.append(child)
+        on_path.add(child)
+        stack.append(iter(inside[child]))
+        best = max(best, len(path) - 1 + beyond[child])
+    return best
+
+
+def search_down(links: list[tuple[str, str | None]], wanted: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(node, n_descendants, height) of the ``wanted`` nodes that have descendants.
+
+    A way down leaves a component at most once, so heights are put together from the components reached; only
+    inside a component are its ways enumerated.
+    """
+    children: dict[str, list[str]] = {}
+    for src, dst in links:
+        children.setdefault(src, [])
+        if dst is not None and dst != src:
+            children[src].append(dst)
+            children.setdefault(dst, [])
+    asked, height = set(wanted), {}
+    for part in reversed(list(components(children, _reached(children, wanted)))):
+        within = set(part)
+        inside = {n: [c for c in children[n] if c in within] for n in part}
+        beyond = {n: max((1 + height[c] for c in children[n] if c not in within), default=0) for n in part}
+        for n in part:
+            height[n] = _longest(n, inside, beyond)
+        if asked & within:
+            n_below = len(_reached(children, part)) - 1
+            for n in asked & within if n_below else ():
+                yield n, n_below, height[n]
+
+
+def _search_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(grp, *row) for grp, links, wanted in zip(pdf["grp"], pdf["links"], pdf["wanted"], strict=True) for row in search_down([(x["src"], x["dst"]) for x in links], list(wanted))]
+        yield pd.DataFrame(rows, columns=["grp", "node", "n_descendants", "height"])
+
+
+def _search_by_joins(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``search_down`` for groups too large for a task, by one join per level."""
+    edges = materialise(rows.where("dst is not null and src <> dst"), "edges")
+    level, levels = wanted.select("grp", F.col("node").alias("start"), "node", F.array("node").alias("names")), []
+    while True:
+        level = level.join(edges, (level["grp"] == edges["grp"]) & (level["node"] == edges["src"])).drop(edges["grp"]).where("not array_contains(names, dst)")
+        level = materialise(level.select("grp", "start", F.col("dst").alias("node"), F.array_append("names", F.col("dst")).alias("names")), "level")
+        if level.isEmpty():
+            break
+        levels.append(level.select("grp", "start", "node", (F.size("names") - 1).alias("distance")))
+    pairs = reduce(DataFrame.unionByName, levels, wanted.limit(0).select("grp", F.col("node").alias("start"), "node", F.lit(0).alias("distance")))
+    return pairs.groupBy("grp", F.col("start").alias("node")).agg(F.countDistinct("node").alias("n_descendants"), F.max("distance").alias("height"))
+
+
+def descendant_counts(nodes: DataFrame, edges: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """grp, node, n_descendants, height of every node that has descendants, itself not counted.
+
+    ``height`` is the longest way down that repeats no node.  Ranges hold all descendants of nodes that a root
+    reaches and that are on no cycle.  Nodes on a cycle miss those already on the path and nodes that no root
+    reaches have no range; both are searched for in the links.
+    """
+    rows = materialise(graph_rows(nodes, edges), "links")
+    h = materialise(hierarchies(nodes, edges, group_rows), "occurrences")
+    rest = materialise(h.where("in_cycle = 1 or depth < 0").select("grp", "node").distinct(), "rest")
+    pairs = descendants(h.withColumnsRenamed({"node": "name", "path": "full_path"}), "grp").withColumnRenamed("ancestor", "node").join(rest, ["grp", "node"], "left_anti")
+    out = pairs.groupBy("grp", "node").agg(F.countDistinct("descendant").alias("n_descendants"), F.max("distance").alias("height"))
+    counts = rows.join(rest.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("n"))
+    large = counts.where(F.col("n") > group_rows).select("grp")
+    has_large = not large.isEmpty()
+    small = rest.join(large, "grp", "left_anti") if has_large else rest
+    asked = small.groupBy("grp").agg(F.collect_list("node").alias("wanted"))
+    packed = rows.join(asked.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.collect_list(F.struct("src", "dst")).alias("links")).join(asked, "grp")
+    out = out.unionByName(packed.mapInPandas(_search_batches, "grp string, node string, n_descendants long, height int"))
+    if has_large:
+        out = out.unionByName(_search_by_joins(rows.join(large, "grp", "left_semi"), rest.join(large, "grp", "left_semi")))
+    return out

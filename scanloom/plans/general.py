@@ -22,12 +22,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Per package and lockfile: its distinct descendants and the longest way down, by nested-set ranges."""
-    h = hierarchy.lockfile_hierarchies(table(spark, d, "locked_packages"), table(spark, d, "dependency_edges"))
-    from scanloom.workdir import materialise
-
-    pairs = hierarchy.descendants(materialise(h, "occurrences"))
-    return pairs.groupBy("lockfile", F.col("ancestor").alias("name")).agg(F.countDistinct("descendant").alias("n_descendants"), F.max("distance").alias("height"))
+    """Per package and lockfile: its distinct descendants and the longest way down, by nested-set ranges where they hold all."""
+    h = hierarchy.descendant_counts(*hierarchy.lockfile_graph(table(spark, d, "locked_packages"), table(spark, d, "dependency_edges")))
+    return h.select(F.col("grp").alias("lockfile"), F.col("node").alias("name"), "n_descendants", "height")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

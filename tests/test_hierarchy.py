@@ -107,3 +107,34 @@ def test_long_chain(spark):
     names = [f"n{i:03}" for i in range(300)]
     rows = run(spark, [], list(zip(names, names[1:], strict=False)))
     assert max(r["depth"] for r in rows) == 299 and len(rows) == 300
+
+
+def brute_below(nodes, edges):
+    """Descendants and longest simple path of every node, by walking all its paths."""
+    kids = {n: set() for n in nodes}
+    for a, b in edges:
+        kids.setdefault(a, set()).add(b)
+        kids.setdefault(b, set())
+    out = {}
+    for n in kids:
+        ways, below, height = [[n]], set(), 0
+        while ways:
+            path = ways.pop()
+            height = max(height, len(path) - 1)
+            below.update(path[1:])
+            ways += [[*path, c] for c in kids[path[-1]] if c not in path]
+        if below:
+            out[n] = (len(below), height)
+    return out
+
+
+def test_descendants_of_every_node(spark):
+    """On cycles and where no root reaches, too; inside tasks and across them."""
+    graphs = [(nodes, edges) for nodes, edges in [*GRAPHS, *(random_graph(s) for s in range(6))]]
+    clean = [([n for n in nodes if n], [e for e in edges if None not in e]) for nodes, edges in graphs]
+    n = spark.createDataFrame([(f"g{k}", x) for k, (nodes, _) in enumerate(graphs) for x in nodes], "grp string, node string")
+    e = spark.createDataFrame([(f"g{k}", *x) for k, (_, edges) in enumerate(graphs) for x in edges], COLS)
+    want = {(f"g{k}", node, *r) for k, g in enumerate(clean) for node, r in brute_below(*g).items()}
+    for group_rows in (hierarchy.GROUP_ROWS, 0):
+        rows = hierarchy.descendant_counts(n, e, group_rows).collect()
+        assert {tuple(r) for r in rows} == want and len(rows) == len(want)

@@ -1,6 +1,6 @@
 """Registered package queries against plain searches over the same rows."""
 
-from scanloom.plans import packages
+from scanloom.plans import general, packages
 
 PACKAGES = "lockfile string, name string, version string, ecosystem string, dependencies array<string>, integrity string"
 
@@ -24,3 +24,9 @@ def test_closure_and_impact_have_no_bound(spark, tmp_path):
     assert got == want
     reach = {r["node"]: (r["affected"], r["max_depth"]) for r in packages.blast_radius(spark, d).collect()}
     assert reach["n27"] == (27, 27) and reach["n30"] == (30, 30) and reach["n28"] == (30, 28)
+
+
+def test_descendants_on_and_below_cycles(spark, tmp_path):
+    d = store(spark, tmp_path, [("r", "a"), ("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("y", "z")])
+    got = {(r["name"], r["n_descendants"], r["height"]) for r in general.p3_descendants(spark, d).collect()}
+    assert got == {("r", 2, 2), ("a", 1, 1), ("b", 1, 1), ("x", 2, 2), ("y", 2, 1)}
