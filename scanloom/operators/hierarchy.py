@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -107,7 +107,7 @@ def on_cycles(children: dict[str, list[str]], among: set[str]) -> set[str]:
     return found
 
 
-def unfold(links: list[tuple[str, str | None]]) -> Iterator[tuple]:
+def unfold(links: list[tuple[str, str | None]], separator: str = SEPARATOR) -> Iterator[tuple]:
     """Rows (node, root, depth, path, in_cycle, lo, size) of one group, unreached nodes included."""
     children: dict[str, list[str]] = {}
     required: set[str] = set()
@@ -140,7 +140,7 @@ def unfold(links: list[tuple[str, str | None]]) -> Iterator[tuple]:
                 continue
             reached.add(node)
             n = size.get(node, after - lo)
-            yield node, root, len(stack) - 1, SEPARATOR.join(names), int(node in cyclic), lo, n
+            yield node, root, len(stack) - 1, separator.join(names), int(node in cyclic), lo, n
             stack.pop()
             names.pop()
             on_path.discard(node)
@@ -152,7 +152,7 @@ def unfold(links: list[tuple[str, str | None]]) -> Iterator[tuple]:
         yield node, "", -1, "", int(node in cyclic), None, None
 
 
-def _unfold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unfold_batches(batches: Iterator[pd.DataFrame], separator: str) -> Iterator[pd.DataFrame]:
     cols = ["grp", "node", "root", "depth", "path", "in_cycle", "lo", "size"]
     out: list[tuple] = []
     from decimal import Decimal
@@ -165,7 +165,7 @@ def _unfold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for grp, links in zip(pdf["grp"], pdf["links"], strict=True):
-            for row in unfold([(x["src"], x["dst"]) for x in links]):
+            for row in unfold([(x["src"], x["dst"]) for x in links], separator):
                 out.append((grp, *row))
                 if len(out) >= CHUNK:
                     yield frame(out)
@@ -237,7 +237,7 @@ def _cyclic_nodes(edges: DataFrame, core: DataFrame) -> DataFrame:
         core = materialise(core.join(marked, ["grp", "node"], "left_anti"), "core")
 
 
-def _unfold_by_joins(rows: DataFrame) -> DataFrame:
+def _unfold_by_joins(rows: DataFrame, separator: str) -> DataFrame:
     """The rows of ``unfold`` for groups too large for a task, by one join per level."""
     edges = materialise(rows.where("dst is not null"), "edges")
     nodes = materialise(rows.where("dst is null").select("grp", F.col("src").alias("node")), "nodes")
@@ -283,7 +283,7 @@ def _unfold_by_joins(rows: DataFrame) -> DataFrame:
         out.append(above.withColumn("depth", F.lit(depth)))
     mark = cyclic.withColumn("in_cycle", F.lit(1))
     empty = nodes.limit(0).select("grp", "node", F.lit("").alias("root"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("decimal(38,0)").alias("lo"), F.lit(None).cast("decimal(38,0)").alias("size"))
-    reached = reduce(DataFrame.unionByName, [x.select("grp", "node", F.col("names")[0].alias("root"), "depth", F.array_join("names", SEPARATOR).alias("path"), "lo", "size") for x in out], empty)
+    reached = reduce(DataFrame.unionByName, [x.select("grp", "node", F.col("names")[0].alias("root"), "depth", F.array_join("names", separator).alias("path"), "lo", "size") for x in out], empty)
     lost = nodes.join(reached, ["grp", "node"], "left_anti")
     null = F.lit(None).cast("decimal(38,0)")
     all_ = reached.unionByName(lost.select("grp", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), null.alias("lo"), null.alias("size")))
@@ -293,11 +293,11 @@ def _unfold_by_joins(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
-def hierarchies(nodes: DataFrame, edges: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def hierarchies(nodes: DataFrame, edges: DataFrame, group_rows: int = GROUP_ROWS, separator: str = SEPARATOR) -> DataFrame:
     """One row for each path from a root to a node that visits no node twice, with its nested-set range.
 
     ``nodes``: grp, node; ``edges``: grp, src (parent), dst (child).  Returns grp, node, root, depth, path,
-    in_cycle, lo, size.  A root is a node that is no other node's child.  A node that no root reaches gives
+    in_cycle, lo, size; ``path`` joins the names by ``separator``.  A root is a node that is no other node's child.  A node that no root reaches gives
     one row with root and path empty, depth -1 and null range.  Repeated links and nodes count once; null
     names and groups are left out; a node linked to itself is on a cycle; empty tables give no rows.
     Ranges are unique within a group (large groups number the trees of all roots in one sequence as well);
@@ -309,9 +309,9 @@ def hierarchies(nodes: DataFrame, edges: DataFrame, group_rows: int = GROUP_ROWS
     has_large = not large.isEmpty()
     small = rows.join(large, "grp", "left_anti") if has_large else rows
     packed = small.groupBy("grp").agg(F.collect_list(F.struct("src", "dst")).alias("links"))
-    out = packed.mapInPandas(_unfold_batches, SCHEMA)
+    out = packed.mapInPandas(partial(_unfold_batches, separator=separator), SCHEMA)
     if has_large:
-        out = out.unionByName(_unfold_by_joins(rows.join(large, "grp", "left_semi")).select(*out.columns))
+        out = out.unionByName(_unfold_by_joins(rows.join(large, "grp", "left_semi"), separator).select(*out.columns))
     return out
 
 

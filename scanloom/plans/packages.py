@@ -89,11 +89,12 @@ def tree_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dep_paths(spark: SparkSession, d: str) -> DataFrame:
-    """All paths of up to four links from a lockfile's roots to packages that require nothing."""
+    """All paths from a lockfile's roots to packages that require nothing; a package that requires itself is no root."""
     e = _edges(spark, d)
-    ends = lambda a, b: e.select("lockfile", F.col(a).alias("node")).distinct().join(e.select("lockfile", F.col(b).alias("node")), ["lockfile", "node"], "left_anti")
-    p = graph.simple_paths(e, ends("src", "dst"), ends("dst", "src"), ["lockfile"], 4)
-    return p.select("lockfile", "start", "goal", F.array_join("path", ">").alias("path"))
+    h = hierarchy.hierarchies(e.select(F.col("lockfile").alias("grp"), F.col("src").alias("node")), e.withColumnRenamed("lockfile", "grp"), separator=">")
+    p = h.where("depth > 0").select(F.col("grp").alias("lockfile"), F.col("root").alias("start"), F.col("node").alias("goal"), "path")
+    p = p.join(e.select("lockfile", F.col("src").alias("goal")).distinct(), ["lockfile", "goal"], "left_anti")
+    return p.join(e.where("src = dst").select("lockfile", F.col("src").alias("start")), ["lockfile", "start"], "left_anti").select("lockfile", "start", "goal", "path")
 
 
 QUERIES = {f.__name__: f for f in (cve_match, version_compare, dep_bump_plan, vex_suppress, typosquat, confusion, pinning, component_list, dep_closure, blast_radius, tree_summary, dep_paths)}

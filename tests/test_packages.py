@@ -30,3 +30,10 @@ def test_descendants_on_and_below_cycles(spark, tmp_path):
     d = store(spark, tmp_path, [("r", "a"), ("a", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("y", "z")])
     got = {(r["name"], r["n_descendants"], r["height"]) for r in general.p3_descendants(spark, d).collect()}
     assert got == {("r", 2, 2), ("a", 1, 1), ("b", 1, 1), ("x", 2, 2), ("y", 2, 1)}
+
+
+def test_paths_of_any_length(spark, tmp_path):
+    d = store(spark, tmp_path, [*chain(30), ("n03", "n02"), ("n05", "leaf"), ("self", "self"), ("self", "leaf"), ("n00", "n30")])
+    got = {tuple(r)[1:] for r in packages.dep_paths(spark, d).collect()}
+    names = [f"n{i:02}" for i in range(31)]
+    assert got == {("n00", "n30", ">".join(names)), ("n00", "leaf", ">".join([*names[:6], "leaf"])), ("n00", "n30", "n00>n30")}
