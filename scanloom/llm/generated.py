@@ -55,7 +55,7 @@ NOTICES = (
     ("sourcemappingurl", r"[#@] sourcemappingurl="),
 )
 
-#: A line shorter than this is never judged by its shape.
+#: A line shorter than this is never judged as minified or as a list of decimal numbers, which people do type.
 SHAPE_CHARS = 150
 
 
@@ -76,9 +76,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _CONFIRM = [re.compile(p) for _, p in NOTICES]
-_HEX = re.compile(r"(?:0x[0-9a-f]{1,8},\s?){30}", re.I)
-_ESCAPES = re.compile(r"(?:\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|\\[0-7]{3}){40}", re.I)
-_NUMBERS = re.compile(r"(?:-?\d+(?:\.\d+)?(?:e-?\d+)?,\s?){18}", re.I)
+_HEX = re.compile(r"(?<!\w)(?:0x[0-9a-f]{1,8}\s?,\s*){11}0x[0-9a-f]", re.I)
+# escapes of bytes; \u escapes also spell hand-written text in other alphabets and need a longer run
+_ESCAPES = re.compile(r"(?:\\x[0-9a-f]{2}|\\[0-7]{3}){16}|(?:\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|\\[0-7]{3}){40}", re.I)
+_NUMBERS = re.compile(r"(?:-?\d+(?:\.\d+)?(?:e-?\d+)?,\s?){17}-?\d", re.I)
 _BASE64 = re.compile(r"[\"'`](?:data:[\w/+.-]+;base64,)?[A-Za-z0-9+/]{140,}={0,2}[\"'`]")
 _DENSE = re.compile(r"[;{}(),=&|<>?:!\[\].+*-]")
 
@@ -93,9 +94,9 @@ def is_minified(line: str) -> bool:
 
 def is_blob(line: str) -> bool:
     """A literal of bytes, numbers or base64 that no one types."""
-    if len(line) < SHAPE_CHARS or "PRIVATE KEY" in line or "CERTIFICATE" in line:
+    if "PRIVATE KEY" in line or "CERTIFICATE" in line:
         return False
-    return bool(_HEX.search(line) or _ESCAPES.search(line) or _BASE64.search(line) or _NUMBERS.search(line))
+    return bool(_HEX.search(line) or _ESCAPES.search(line) or _BASE64.search(line) or len(line) >= SHAPE_CHARS and _NUMBERS.search(line))
 
 
 def has_notice(line: str, automaton: ahocorasick.Automaton) -> bool:

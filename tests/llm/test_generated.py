@@ -39,3 +39,16 @@ def test_empty(spark):
     none = spark.createDataFrame([], "file_path string, line_content string")
     assert generated.generated_files(none, none).count() == 0
     assert generated.generated_files(spark.createDataFrame([("t/dist/a.js",)], "file_path string"), none).count() == 1
+
+
+BLOBS = ["ICON = [" + ",".join(["0x5f"] * 30) + "]", "  " + ", ".join(["0x5f"] * 12) + ",", "var icon='" + r"\x0f\x2d" * 20 + "'", 'k = "' + r"\017\255" * 8 + '"', 'ICON = "' + "Ab3/" * 35 + '"']
+
+
+@pytest.mark.parametrize("line", BLOBS)
+def test_short_blobs(line):
+    assert generated.is_blob(line)
+
+
+@pytest.mark.parametrize("line", ["MASKS = [" + ",".join(["0x5f"] * 8) + "]", 'sep = "' + r"\x1f\x1e" * 4 + '"', 'title = "' + r"з" * 20 + '"', "days = [" + ", ".join(map(str, range(1, 32))) + "]"])
+def test_what_people_type(line):
+    assert not generated.is_blob(line)
