@@ -235,15 +235,15 @@ _TYPE_OF = np.array([0, 1, 1, 2, 2, 3, 4, 5])
 
 def skip_groups(keys: list[str], kinds: list[str], doc: np.ndarray) -> np.ndarray:
     """Group number of each token, -1 where none: the words of a document that are the same but for case and accents,
-    if one of them is capitalised and there are two or more."""
+    if one of them is capitalised and there are two or more.  Words of one letter have no group."""
     out = np.full(len(keys), -1, np.int64)
     seen: dict[tuple[int, str], list[int]] = {}
     for n, (key, kind) in enumerate(zip(keys, kinds, strict=True)):
-        if kind == "word" and len(key) > 3 and key[0].isupper():
+        if kind == "word" and len(key) > 1:
             seen.setdefault((doc[n], _fold(key)), []).append(n)
     g = 0
     for at in seen.values():
-        if len(at) > 1:
+        if len(at) > 1 and any(keys[n][0].isupper() for n in at):
             out[at] = g
             g += 1
     return out

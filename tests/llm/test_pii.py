@@ -87,3 +87,10 @@ def test_redaction_and_frames(spark, tagger):
 def test_model_is_reproducible():
     a, b = pii.train(600, epochs=2), pii.train(600, epochs=2)
     assert a.index == b.index and np.array_equal(a.weights, b.weights)
+
+
+def test_skip_groups_take_any_case_and_short_names():
+    words = ["Ana", "Vélden", "wrote", "to", "velden", "ana", "and", "A", "a", "wrote"]
+    groups = pii.skip_groups(words, ["word"] * len(words), np.zeros(len(words), int)).tolist()
+    assert groups[0] == groups[5] >= 0 and groups[1] == groups[4] >= 0 and groups[0] != groups[1]
+    assert [groups[n] for n in (2, 3, 6, 7, 8, 9)] == [-1] * 6
