@@ -79,8 +79,10 @@ SQL = {
   UNION ALL SELECT lockfile, name, '', -1, '' FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.lockfile = n.lockfile AND p.name = n.name)) q
   LEFT JOIN c ON c.lockfile = q.lockfile AND c.name = q.name""",
     "p3_descendants": _P3
-    + """, d AS (SELECT lockfile, name AS descendant, unnest(names[:-2]) AS ancestor, len(names) - generate_subscripts(names[:-2], 1) AS distance FROM p WHERE len(names) > 1)
-  SELECT lockfile, ancestor AS name, count(DISTINCT descendant) AS n_descendants, max(distance)::INT AS height FROM d GROUP BY lockfile, ancestor""",
+    + """, w AS (SELECT lockfile, name AS ancestor, name AS here, [name] AS names FROM n
+  UNION ALL SELECT w.lockfile, w.ancestor, e.dst, list_append(w.names, e.dst) FROM w JOIN e ON e.lockfile = w.lockfile AND e.src = w.here AND NOT list_contains(w.names, e.dst)),
+  d AS (SELECT lockfile, src AS ancestor, count(*) AS n_descendants FROM reach WHERE src <> dst GROUP BY 1, 2)
+  SELECT lockfile, ancestor AS name, any_value(d.n_descendants) AS n_descendants, max(len(names) - 1)::INT AS height FROM w JOIN d USING (lockfile, ancestor) GROUP BY 1, 2""",
     "p4_found": f"""
 WITH s AS (SELECT {_PATH.format('file_path')} AS file_path, regexp_replace(lower(trim(content_hash)), '^sha256:', '') AS content_hash, coalesce(is_deleted, false) AS gone,
     row_number() OVER (PARTITION BY {_PATH.format('file_path')} ORDER BY modified_at DESC, delivered_at DESC) AS k FROM source_files WHERE file_path IS NOT NULL),

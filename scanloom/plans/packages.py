@@ -108,7 +108,8 @@ od AS (SELECT DISTINCT pk.lockfile, pk.name, pk.version, pk.ecosystem, 'OUTDATED
 _E = f"""WITH RECURSIVE e AS (SELECT DISTINCT lockfile, src, dst FROM (
   SELECT lockfile, {_N.format('name')} AS src, {_N.format('d')} AS dst FROM (SELECT lockfile, name, unnest(dependencies) AS d FROM locked_packages)
   UNION ALL SELECT lockfile, {_N.format('src')}, {_N.format('dst')} FROM dependency_edges) x WHERE src IS NOT NULL AND dst IS NOT NULL),
-c AS (SELECT lockfile, src, dst, 1 AS depth FROM e UNION SELECT c.lockfile, c.src, e.dst, c.depth + 1 FROM c JOIN e ON e.lockfile = c.lockfile AND e.src = c.dst WHERE c.depth < 8),
+longest AS (SELECT max(n) AS n FROM (SELECT count(DISTINCT src) AS n FROM e GROUP BY lockfile)),
+c AS (SELECT lockfile, src, dst, 1 AS depth FROM e UNION SELECT c.lockfile, c.src, e.dst, c.depth + 1 FROM c JOIN e ON e.lockfile = c.lockfile AND e.src = c.dst WHERE c.depth < (SELECT n FROM longest)),
 cl AS (SELECT lockfile, src, dst, min(depth)::INT AS depth FROM c GROUP BY 1, 2, 3)
 """
 _NAMES = "(SELECT DISTINCT name FROM pk)"
@@ -129,6 +130,6 @@ y AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, popular)
     "tree_summary": _E + """, n AS (SELECT lockfile, src AS node FROM e UNION SELECT lockfile, dst FROM e), r AS (SELECT lockfile, count(*) AS roots FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lockfile = n.lockfile AND e.dst = n.node AND e.src <> e.dst) GROUP BY 1)
 SELECT a.lockfile, a.packages, b.edges, coalesce(r.roots, 0) AS roots FROM (SELECT lockfile, count(*) AS packages FROM n GROUP BY 1) a JOIN (SELECT lockfile, count(*) AS edges FROM e GROUP BY 1) b USING (lockfile) LEFT JOIN r USING (lockfile)""",
     "dep_paths": _E + """, s AS (SELECT DISTINCT lockfile, src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.lockfile = e.lockfile AND f.dst = e.src)), g AS (SELECT DISTINCT lockfile, dst AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.lockfile = e.lockfile AND f.src = e.dst)),
-p AS (SELECT lockfile, node AS start, node AS here, [node] AS path, 0 AS n FROM s UNION ALL SELECT p.lockfile, p.start, e.dst, list_append(p.path, e.dst), n + 1 FROM p JOIN e ON e.lockfile = p.lockfile AND e.src = p.here WHERE n < 4 AND NOT list_contains(p.path, e.dst))
+p AS (SELECT lockfile, node AS start, node AS here, [node] AS path, 0 AS n FROM s UNION ALL SELECT p.lockfile, p.start, e.dst, list_append(p.path, e.dst), n + 1 FROM p JOIN e ON e.lockfile = p.lockfile AND e.src = p.here WHERE NOT list_contains(p.path, e.dst))
 SELECT p.lockfile, start, here AS goal, array_to_string(path, '>') AS path FROM p JOIN g ON g.lockfile = p.lockfile AND g.node = p.here WHERE n > 0""",
 }
