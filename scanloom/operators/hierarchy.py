@@ -6,8 +6,10 @@ occurrence then gets the preorder range ``[lo, lo + size)`` by prefix sums over
 occurrence's ancestors and descendants are the ranges that hold it and that it holds.  Nodes that the
 upward pass never completes reach a cycle; among them the strongly connected ones are on it.
 
-Groups of up to ``group_rows`` links are unfolded inside one task each, streaming their rows out; larger
-ones are unfolded by joins, level by level, so that no task ever holds a large group.
+An occurrence's root, depth and path are read from the ranges: its ancestors are the ranges that hold it, in the
+order of their starts.  Groups of up to ``group_rows`` links and ``occurrences`` occurrences are unfolded inside one
+task each, streaming their rows out; larger ones are unfolded by joins, level by level, so that no task ever holds
+a large group.  Both ways number alike.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from collections.abc import Iterator
 from functools import partial, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from scanloom.functions.paths import package_form
 from scanloom.workdir import materialise
 
-SCHEMA = "grp string, node string, root string, depth int, path string, in_cycle int, lo decimal(38,0), size decimal(38,0)"
+SCHEMA = "grp string, node string, root string, depth int, path string, in_cycle int, lo long, size long"
 SEPARATOR = " > "
 GROUP_ROWS = 100_000
+OCCURRENCES = 5_000_000
 CHUNK = 20_000
 
 
@@ -107,8 +111,8 @@ def on_cycles(children: dict[str, list[str]], among: set[str]) -> set[str]:
     return found
 
 
-def unfold(links: list[tuple[str, str | None]], separator: str = SEPARATOR) -> Iterator[tuple]:
-    """Rows (node, root, depth, path, in_cycle, lo, size) of one group, unreached nodes included."""
+def graph_of(links: list[tuple[str, str | None]]) -> tuple[dict[str, list[str]], list[str]]:
+    """(children in the order of their names, roots in the order of theirs)."""
     children: dict[str, list[str]] = {}
     required: set[str] = set()
     for src, dst in links:
@@ -120,58 +124,111 @@ def unfold(links: list[tuple[str, str | None]], separator: str = SEPARATOR) -> I
                 required.add(dst)
     for cs in children.values():
         cs.sort()
-    size = upward_sizes(children)
-    cyclic = on_cycles(children, children.keys() - size.keys())
-    at, reached = 0, set()
-    for root in sorted(children.keys() - required):
-        # entries: node, its siblings still to come, lo, place after its last placed child
-        names, on_path = [root], {root}
-        stack = [[root, iter(children[root]), at, at + 1]]
-        while stack:
-            top = stack[-1]
-            node, rest, lo, after = top
+    return children, sorted(children.keys() - required)
+
+
+class CyclicTree:
+    """Occurrences below a root that reaches a cycle: a node's subtree depends on the nodes above it there, so they are
+    enumerated.  Subtrees of nodes that reach none are counted in whole.  ``count`` stops at ``limit``."""
+
+    def __init__(self, root: str, children: dict[str, list[str]], size: dict[str, int], limit: float = math.inf) -> None:
+        self.names, self.sizes, self.below = [root], [1], [[]]
+        stack, on_path, self.count = [(0, iter(children[root]))], {root}, 1
+        while stack and self.count <= limit:
+            at, rest = stack[-1]
             child = next((c for c in rest if c not in on_path), None)
-            if child is not None:
-                names.append(child)
+            if child is None:
+                stack.pop()
+                on_path.discard(self.names[at])
+                if stack:
+                    self.sizes[stack[-1][0]] += self.sizes[at]
+            elif child in size:
+                self.below[at].append((child, None))
+                self.sizes[at] += size[child]
+                self.count += size[child]
+            else:
+                self.below[at].append((child, len(self.names)))
                 on_path.add(child)
-                stack.append([child, iter(children[child]), after, after + 1])
-                if child in size:  # the next sibling's range starts behind this subtree, however it is filled
-                    top[3] = after + size[child]
-                continue
-            reached.add(node)
-            n = size.get(node, after - lo)
-            yield node, root, len(stack) - 1, separator.join(names), int(node in cyclic), lo, n
-            stack.pop()
+                stack.append((len(self.names), iter(children[child])))
+                self.names.append(child)
+                self.sizes.append(1)
+                self.below.append([])
+                self.count += 1
+
+
+def occurrence_count(links: list[tuple[str, str | None]], limit: int) -> int:
+    """How many occurrences a group unfolds to; any number above ``limit`` if there are more."""
+    children, roots = graph_of(links)
+    size = upward_sizes(children)
+    total = 0
+    for root in roots:
+        total += size[root] if root in size else CyclicTree(root, children, size, limit - total).count
+        if total > limit:
+            break
+    return min(total, limit + 1)
+
+
+def placed(children: dict[str, list[str]], roots: list[str], size: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(node, lo, size) of every occurrence by lo: from the roots down, siblings get adjoining ranges by prefix sums."""
+    at = 0
+    for root in roots:
+        tree = None if root in size else CyclicTree(root, children, size)
+        todo = [(root, 0 if tree else None, at)]
+        at += tree.sizes[0] if tree else size[root]
+        while todo:
+            node, k, lo = todo.pop()
+            yield node, lo, size[node] if k is None else tree.sizes[k]
+            below, start = [], lo + 1
+            for child, j in ((c, None) for c in children[node]) if k is None else tree.below[k]:
+                below.append((child, j, start))
+                start += size[child] if j is None else tree.sizes[j]
+            todo += reversed(below)
+
+
+def unfold(links: list[tuple[str, str | None]], separator: str = SEPARATOR) -> Iterator[tuple]:
+    """Rows (node, root, depth, path, in_cycle, lo, size) of one group, unreached nodes included."""
+    children, roots = graph_of(links)
+    size = upward_sizes(children)
+    cyclic = on_cycles(children, children.keys() - size.keys())
+    reached: set[str] = set()
+    ends: list[int] = []  # of the ranges that hold the place reached, and their nodes
+    names: list[str] = []
+    for node, lo, n in placed(children, roots, size):
+        while ends and ends[-1] <= lo:
+            ends.pop()
             names.pop()
-            on_path.discard(node)
-            if stack:
-                stack[-1][3] = lo + n
-            else:
-                at = lo + n
+        ends.append(lo + n)
+        names.append(node)
+        reached.add(node)
+        yield node, names[0], len(names) - 1, separator.join(names), int(node in cyclic), lo, n
     for node in sorted(children.keys() - reached):
         yield node, "", -1, "", int(node in cyclic), None, None
 
 
-def _unfold_batches(batches: Iterator[pd.DataFrame], separator: str) -> Iterator[pd.DataFrame]:
-    cols = ["grp", "node", "root", "depth", "path", "in_cycle", "lo", "size"]
-    out: list[tuple] = []
-    from decimal import Decimal
+def _links(packed: list[dict]) -> list[tuple[str, str | None]]:
+    return [(x["src"], x["dst"]) for x in packed]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=cols)
-        for c in ("lo", "size"):
-            df[c] = [None if x is None or x >= 10**38 else Decimal(x) for x in (r[cols.index(c)] for r in rows)]
-        return df
 
-    for pdf in batches:
-        for grp, links in zip(pdf["grp"], pdf["links"], strict=True):
-            for row in unfold([(x["src"], x["dst"]) for x in links], separator):
+def _unfold_batches(batches: Iterator[pa.RecordBatch], separator: str) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["grp", "node", "root", "depth", "path", "in_cycle", "lo", "size"]
+    out: list[tuple] = []
+    frame = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    for b in batches:
+        for grp, links in zip(b.column("grp").to_pylist(), b.column("links").to_pylist(), strict=True):
+            for row in unfold(_links(links), separator):
                 out.append((grp, *row))
                 if len(out) >= CHUNK:
-                    yield frame(out)
+                    yield frame()
                     out = []
     if out:
-        yield frame(out)
+        yield frame()
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [occurrence_count(_links(links), limit) for links in b.column("links").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("grp"), pa.array(n, pa.int64())], names=["grp", "n"])
 
 
 # ---------------------------------------------------------------- across tasks
@@ -251,7 +308,7 @@ def _unfold_by_joins(rows: DataFrame, separator: str) -> DataFrame:
         level = materialise(level.withColumn("id", ids(F.concat(F.array("grp"), F.col("names")))), "level")
         if level.isEmpty():
             break
-        levels.append(level)
+        levels.append(level.drop("names"))
         level = (
             level.select("grp", F.col("node").alias("src"), "names", F.col("id").alias("up"))
             .join(edges, ["grp", "src"])
@@ -260,32 +317,38 @@ def _unfold_by_joins(rows: DataFrame, separator: str) -> DataFrame:
         )
     sized: list[DataFrame] = []
     for depth in range(len(levels) - 1, -1, -1):
-        here, one = levels[depth], F.lit(1).cast("decimal(38,0)")
+        here, one = levels[depth], F.lit(1).cast("long")
         if sized:
-            below = sized[-1].groupBy(F.col("up").alias("id")).agg(F.sum("size").cast("decimal(38,0)").alias("below"))
-            here = here.join(below, "id", "left").withColumn("size", F.coalesce(F.col("below") + 1, one).cast("decimal(38,0)")).drop("below")
+            below = sized[-1].groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("below"))
+            here = here.join(below, "id", "left").withColumn("size", F.coalesce(F.col("below") + 1, one)).drop("below")
         else:
             here = here.withColumn("size", one)
         sized.append(materialise(here, "sized"))
-    out, above = [], None
-    for depth, here in enumerate(reversed(sized)):
-        slice_ = F.pmod(F.xxhash64("id"), F.lit(64))
-        cut = here.withColumn("slice", slice_)
+    out, above = None, None
+    for here in reversed(sized):
+        # prefix sums over siblings by name: within slices of the sorted rows, and over the slices' sums
+        cut = materialise(here.repartitionByRange("grp", "up", "node").withColumn("slice", F.spark_partition_id()), "sliced")
         sums = cut.groupBy("grp", "up", "slice").agg(F.sum("size").alias("s"))
         start = sums.withColumn("start", F.coalesce(F.sum("s").over(W.partitionBy("grp", "up").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
-        own = F.coalesce(F.sum("size").over(W.partitionBy("grp", "up", "slice").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        placed = cut.withColumn("own", own).join(start, ["grp", "up", "slice"])
+        own = F.coalesce(F.sum("size").over(W.partitionBy("grp", "up", "slice").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        at = cut.withColumn("own", own).join(start, ["grp", "up", "slice"])
         base = F.lit(0)
         if above is not None:
-            placed = placed.join(above.select(F.col("id").alias("up"), F.col("lo").alias("base")), "up")
+            at = at.join(above.select(F.col("id").alias("up"), F.col("lo").alias("base")), "up")
             base = F.col("base") + 1
-        above = materialise(placed.withColumn("lo", (base + F.col("start") + F.col("own")).cast("decimal(38,0)")).select("grp", "node", "names", "id", "lo", "size"), "placed")
-        out.append(above.withColumn("depth", F.lit(depth)))
+        above = materialise(at.select("grp", "node", "id", (base + F.col("start") + F.col("own")).cast("long").alias("lo"), "size"), "placed")
+        out = above if out is None else out.unionByName(above)
     mark = cyclic.withColumn("in_cycle", F.lit(1))
-    empty = nodes.limit(0).select("grp", "node", F.lit("").alias("root"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(None).cast("decimal(38,0)").alias("lo"), F.lit(None).cast("decimal(38,0)").alias("size"))
-    reached = reduce(DataFrame.unionByName, [x.select("grp", "node", F.col("names")[0].alias("root"), "depth", F.array_join("names", separator).alias("path"), "lo", "size") for x in out], empty)
-    lost = nodes.join(reached, ["grp", "node"], "left_anti")
-    null = F.lit(None).cast("decimal(38,0)")
+    if out is None:
+        out = nodes.limit(0).select("grp", "node", F.lit("").alias("id"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("size"))
+    # ancestors are the ranges that hold a place; in the order of their starts they are its path
+    pairs = _range_pairs(out.select(F.col("grp").alias("g"), F.col("node").alias("name"), "lo", "size"), own=True)
+    chain = pairs.groupBy("g", "p").agg(F.array_sort(F.collect_list(F.struct("a", "ancestor"))).alias("chain"))
+    names = F.transform("chain", lambda x: x["ancestor"])
+    chain = chain.select(F.col("g").alias("grp"), F.col("p").alias("lo"), names[0].alias("root"), (F.size("chain") - 1).alias("depth"), F.array_join(names, separator).alias("path"))
+    reached = materialise(out.select("grp", "node", "lo", "size").join(chain, ["grp", "lo"]), "reached")
+    lost = nodes.join(reached.select("grp", "node").distinct(), ["grp", "node"], "left_anti")
+    null = F.lit(None).cast("long")
     all_ = reached.unionByName(lost.select("grp", "node", F.lit("").alias("root"), F.lit(-1).alias("depth"), F.lit("").alias("path"), null.alias("lo"), null.alias("size")))
     return all_.join(mark, ["grp", "node"], "left").select("grp", "node", "root", "depth", "path", F.coalesce("in_cycle", F.lit(0)).alias("in_cycle"), "lo", "size")
 
@@ -293,25 +356,26 @@ def _unfold_by_joins(rows: DataFrame, separator: str) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
-def hierarchies(nodes: DataFrame, edges: DataFrame, group_rows: int = GROUP_ROWS, separator: str = SEPARATOR) -> DataFrame:
+def hierarchies(nodes: DataFrame, edges: DataFrame, group_rows: int = GROUP_ROWS, separator: str = SEPARATOR, occurrences: int = OCCURRENCES) -> DataFrame:
     """One row for each path from a root to a node that visits no node twice, with its nested-set range.
 
     ``nodes``: grp, node; ``edges``: grp, src (parent), dst (child).  Returns grp, node, root, depth, path,
     in_cycle, lo, size; ``path`` joins the names by ``separator``.  A root is a node that is no other node's child.  A node that no root reaches gives
     one row with root and path empty, depth -1 and null range.  Repeated links and nodes count once; null
     names and groups are left out; a node linked to itself is on a cycle; empty tables give no rows.
-    Ranges are unique within a group (large groups number the trees of all roots in one sequence as well);
-    beyond 38 digits they are null.
+    Ranges number the rows of a group from 0, roots and siblings by name; groups of more than ``group_rows`` links or
+    ``occurrences`` rows are spread over all tasks and give the same rows.
     """
     rows = materialise(graph_rows(nodes, edges), "links")
     counts = rows.groupBy("grp").agg(F.count("*").alias("n"))
     large = counts.where(F.col("n") > group_rows).select("grp")
-    has_large = not large.isEmpty()
-    small = rows.join(large, "grp", "left_anti") if has_large else rows
-    packed = small.groupBy("grp").agg(F.collect_list(F.struct("src", "dst")).alias("links"))
-    out = packed.mapInPandas(partial(_unfold_batches, separator=separator), SCHEMA)
-    if has_large:
-        out = out.unionByName(_unfold_by_joins(rows.join(large, "grp", "left_semi"), separator).select(*out.columns))
+    small = rows if large.isEmpty() else rows.join(large, "grp", "left_anti")
+    packed = materialise(small.groupBy("grp").agg(F.collect_list(F.struct("src", "dst")).alias("links")), "packed")
+    many = materialise(packed.mapInArrow(partial(_count_batches, limit=occurrences), "grp string, n long").where(F.col("n") > occurrences).select("grp").unionByName(large), "many")
+    has_many = not many.isEmpty()
+    out = (packed.join(many, "grp", "left_anti") if has_many else packed).mapInArrow(partial(_unfold_batches, separator=separator), SCHEMA)
+    if has_many:
+        out = out.unionByName(_unfold_by_joins(rows.join(many, "grp", "left_semi"), separator).select(*out.columns))
     return out
 
 
@@ -335,24 +399,25 @@ def descendants(occurrences: DataFrame, group: str = "lockfile", cells: int = 16
     A range join without a cross join: every range is cut into the blocks of a 16-ary tree that cover it,
     every point has one block per level, and equal blocks meet.
     """
-    occ = occurrences.where("lo is not null").select(F.col(group).alias("g"), "name", "full_path", F.col("lo").cast("long").alias("lo"), F.col("size").cast("long").alias("size"))
-    return _range_pairs(occ, cells).select(F.col("g").alias(group), "ancestor", "descendant", "distance").distinct()
+    occ = occurrences.where("lo is not null").select(F.col(group).alias("g"), "name", "depth", "lo", "size")
+    pairs = _range_pairs(occ, cells, ("depth",)).withColumn("distance", F.col("p_depth") - F.col("a_depth"))
+    return pairs.select(F.col("g").alias(group), "ancestor", "descendant", "distance").distinct()
 
 
-def _range_pairs(occ: DataFrame, cells: int) -> DataFrame:
+def _range_pairs(occ: DataFrame, cells: int = 16, more: tuple[str, ...] = (), own: bool = False) -> DataFrame:
+    """g, ancestor, a, descendant, p and the columns ``more`` of both (a_, p_): ranges and the places in them, with ``own`` a range's own place too."""
     steps = 15
     top = occ.select(
-        "g", F.col("name").alias("ancestor"), F.col("full_path").alias("_ap"), F.col("lo").alias("a"), (F.col("lo") + F.col("size")).alias("b"),
+        "g", F.col("name").alias("ancestor"), F.col("lo").alias("a"), (F.col("lo") + F.col("size")).alias("b"), *[F.col(c).alias(f"a_{c}") for c in more],
         # the smallest level whose block width is at least the range's size
         F.least(F.ceil(F.log2(F.greatest(F.col("size"), F.lit(1))) / math.log2(cells)), F.lit(steps)).cast("int").alias("level"),
     )
     width = F.pow(F.lit(float(cells)), F.col("level")).cast("long")
     blocks = top.select("*", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor((F.col("b") - 1) / width))).alias("block"))
     levels = top.select("g", "level").distinct()
-    points = occ.select("g", F.col("name").alias("descendant"), F.col("full_path").alias("_dp"), F.col("lo").alias("p")).join(levels, "g")
+    points = occ.select("g", F.col("name").alias("descendant"), F.col("lo").alias("p"), *[F.col(c).alias(f"p_{c}") for c in more]).join(levels, "g")
     points = points.withColumn("block", F.floor(F.col("p") / F.pow(F.lit(float(cells)), F.col("level")).cast("long")))
-    depth: Column = F.size(F.split("_dp", SEPARATOR)) - F.size(F.split("_ap", SEPARATOR))
-    return blocks.join(points, ["g", "level", "block"]).where("p > a and p < b").withColumn("distance", depth)
+    return blocks.join(points, ["g", "level", "block"]).where((F.col("p") >= F.col("a") if own else F.col("p") > F.col("a")) & (F.col("p") < F.col("b")))
 
 
 # ---------------------------------------------------------------- descendants of every node
@@ -440,7 +505,7 @@ def descendant_counts(nodes: DataFrame, edges: DataFrame, group_rows: int = GROU
     rows = materialise(graph_rows(nodes, edges), "links")
     h = materialise(hierarchies(nodes, edges, group_rows), "occurrences")
     rest = materialise(h.where("in_cycle = 1 or depth < 0").select("grp", "node").distinct(), "rest")
-    pairs = descendants(h.withColumnsRenamed({"node": "name", "path": "full_path"}), "grp").withColumnRenamed("ancestor", "node").join(rest, ["grp", "node"], "left_anti")
+    pairs = descendants(h.withColumnRenamed("node", "name"), "grp").withColumnRenamed("ancestor", "node").join(rest, ["grp", "node"], "left_anti")
     out = pairs.groupBy("grp", "node").agg(F.countDistinct("descendant").alias("n_descendants"), F.max("distance").alias("height"))
     counts = rows.join(rest.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("n"))
     large = counts.where(F.col("n") > group_rows).select("grp")

@@ -70,21 +70,35 @@ def random_graph(seed):
     return names, [(rng.choice(names[: 3 + n // 2]), rng.choice(names)) for n in range(11)]
 
 
-def test_inside_a_task(spark):
-    for nodes, edges in [*GRAPHS, *(random_graph(s) for s in range(6))]:
-        rows = run(spark, nodes, edges)
+def run_all(spark, graphs, **kw):
+    """Rows of several graphs, each a group of one call."""
+    n = spark.createDataFrame([(f"g{k}", x) for k, (nodes, _) in enumerate(graphs) for x in nodes], "grp string, node string")
+    e = spark.createDataFrame([(f"g{k}", *x) for k, (_, edges) in enumerate(graphs) for x in edges], COLS)
+    rows = hierarchy.hierarchies(n, e, **kw).collect()
+    return [[r for r in rows if r["grp"] == f"g{k}"] for k in range(len(graphs))]
+
+
+def check(graphs, found):
+    for (nodes, edges), rows in zip(graphs, found, strict=True):
         got = {(r["node"], r["root"], r["depth"], r["path"], r["in_cycle"]) for r in rows}
-        clean = [e for e in edges if None not in e]
-        assert got == brute([n for n in nodes if n], clean)
+        assert got == brute([n for n in nodes if n], [e for e in edges if None not in e])
         assert len(got) == len(rows)
         check_ranges(rows)
 
 
-def test_across_tasks_gives_the_same(spark):
-    for nodes, edges in [*GRAPHS[:2], GRAPHS[4], random_graph(1), random_graph(3)]:
-        rows = run(spark, nodes, edges, group_rows=0)
-        assert {(r["node"], r["root"], r["depth"], r["path"], r["in_cycle"]) for r in rows} == brute([n for n in nodes if n], [e for e in edges if None not in e])
-        check_ranges(rows)
+def test_inside_and_across_tasks(spark):
+    graphs = [*GRAPHS, *(random_graph(s) for s in range(6))]
+    inside = run_all(spark, graphs)
+    check(graphs, inside)
+    across = run_all(spark, graphs, group_rows=0)
+    check(graphs, across)
+    number = lambda found: {(r["grp"], r["node"], r["path"], r["lo"], r["size"]) for rows in found for r in rows}
+    assert number(inside) == number(across)
+
+
+def test_a_group_of_many_occurrences_goes_across_tasks(spark):
+    wide = ([], [(f"l{k}{a}", f"l{k + 1}{b}") for k in range(3) for a in "xy" for b in "xy"])
+    assert {tuple(r) for r in run(spark, *wide, occurrences=10)} == {tuple(r) for r in run(spark, *wide)}
 
 
 def test_empty_and_spellings(spark):
@@ -98,11 +112,18 @@ def test_empty_and_spellings(spark):
 def test_descendants_by_ranges(spark):
     n = spark.createDataFrame([("g", "a")], "grp string, node string")
     e = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "a", "c")], COLS)
-    h = hierarchy.hierarchies(n, e).selectExpr("grp as lockfile", "node as name", "path as full_path", "lo", "size")
+    h = hierarchy.hierarchies(n, e).selectExpr("grp as lockfile", "node as name", "depth", "lo", "size")
     got = {(r["ancestor"], r["descendant"], r["distance"]) for r in hierarchy.descendants(h).collect()}
     assert got == {("a", "b", 1), ("a", "c", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def test_counts_of_occurrences():
+    for nodes, edges in [*GRAPHS[:3], *(random_graph(s) for s in range(20))]:
+        links = [(a, b) for a, b in {e for e in edges if None not in e}] + [(n, None) for n in nodes]
+        n = sum(r[5] is not None for r in hierarchy.unfold(links))
+        assert hierarchy.occurrence_count(links, 10**9) == n and hierarchy.occurrence_count(links, 2) == min(n, 3)
+
+
 def test_long_chain(spark):
     names = [f"n{i:03}" for i in range(300)]
     rows = run(spark, [], list(zip(names, names[1:], strict=False)))
