@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scanloom.functions.text import cvss3_base, severity_of_score, version_array, version_lt
 
-# Well-known packages, markers of private names, copyleft licences; part of a public advisory list.
+# Well-known packages by ecosystem, markers of private names, packages under the GPL, copyleft licences; part of a public advisory list.
 POPULAR = {
-    "pypi": "requests numpy pandas flask django urllib3 boto3 pytest setuptools pyyaml click jinja2 cryptography pillow scipy sqlalchemy matplotlib selenium scrapy tensorflow torch fastapi pydantic".split(),
-    "npm": "react lodash express axios vue webpack typescript eslint jest babel chalk commander moment underscore async request debug colors yargs next".split(),
-    "cargo": "serde tokio rand clap reqwest regex log anyhow thiserror futures hyper".split(),
+    "pypi": "requests numpy pandas flask django urllib3 boto3 pytest setuptools pyyaml click jinja2 cryptography pillow scipy sqlalchemy matplotlib beautifulsoup4 selenium scrapy tensorflow torch fastapi pydantic".split(),
+    "npm": "react lodash express axios vue webpack typescript eslint jest babel chalk commander moment underscore async request debug colors yargs react-dom next".split(),
+    "cargo": "serde tokio rand clap reqwest regex log anyhow thiserror futures hyper actix-web".split(),
+    "gem": "rails rack rspec devise nokogiri puma sidekiq".split(),
 }
-PRIVATE_MARKERS = ("internal", "private", "corp", "intranet", "local")
+PRIVATE_MARKERS = ("internal-", "corp-", "private-", "-internal", "-private")
+GPL_PACKAGES = {"mysql-connector-python": "GPL-2.0", "pyqt5": "GPL-3.0", "readline": "GPL-3.0", "gnu-libjpeg": "GPL-2.0"}
 COPYLEFT = r"(?i)\b(?:AGPL|GPL)(?:-?v?\d[\d.]*)?\b"
 ADVISORIES = (
     ("pyyaml", "CVE-2020-14343", "CRITICAL", "5.4"), ("django", "CVE-2022-28346", "CRITICAL", "3.2.13"), ("flask", "CVE-2023-30861", "HIGH", "2.2.5"), ("requests", "CVE-2023-32681", "MEDIUM", "2.31.0"),
@@ -46,38 +48,56 @@ def bump_plan(findings: DataFrame, by: list[str]) -> DataFrame:
 
 
 def typosquats(names: DataFrame, popular: DataFrame, max_distance: int = 2) -> DataFrame:
-    """name, popular, distance: the nearest well-known name at distance 1 to ``max_distance``.
+    """ecosystem, name, popular, distance: the nearest well-known name of the ecosystem at distance 1 to ``max_distance``.
 
-    A well-known name is cut at every way of leaving out up to ``max_distance`` characters; so is each name; names
-    within the distance share such a remainder (deletion neighbourhood), so the join is an equi-join.
+    ``names``: ecosystem, name; ``popular``: ecosystem, name, ord (ties go to the lower ord, then name).  Names that are
+    well known themselves give no row, nor do null names and ecosystems.  A well-known name is cut into one piece more
+    than edits are allowed, so one piece survives them; the names look for it at most ``max_distance`` places away.  The
+    join is thus on (ecosystem, length, piece), linear on both sides, and one aggregate keeps the nearest.
     """
+    parts = max_distance + 1
+    cut = lambda n, i: F.floor(n * i / parts).cast("int")
+    known = popular.select("ecosystem", F.lower("name").alias("popular"), "ord").withColumn("_n", F.length("popular"))
+    known = known.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(max_distance))))
+    known = known.withColumn("_piece", F.substring("popular", cut(F.col("_n"), F.col("_i")) + 1, cut(F.col("_n"), F.col("_i") + 1) - cut(F.col("_n"), F.col("_i"))))
+    a = names.select("ecosystem", "name").where("ecosystem is not null and name is not null").distinct()
+    low = a.select("*", F.explode(F.sequence(F.greatest(F.length("name") - max_distance, F.lit(0)), F.length("name") + max_distance)).alias("_n"))
+    low = low.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_distance))).alias("_i")).select("*", F.explode(F.sequence(F.lit(-max_distance), F.lit(max_distance))).alias("_s"))
+    start, size = cut(F.col("_n"), F.col("_i")) + F.col("_s"), cut(F.col("_n"), F.col("_i") + 1) - cut(F.col("_n"), F.col("_i"))
+    low = low.where((start >= 0) & (start + size <= F.length("name"))).withColumn("_piece", F.substring(F.lower("name"), start + 1, size)).drop("_s").distinct()
+    near = low.join(known, ["ecosystem", "_n", "_i", "_piece"]).withColumn("distance", F.levenshtein(F.lower("name"), F.col("popular"), max_distance))
+    best = near.where("distance >= 0").groupBy("ecosystem", "name").agg(F.min(F.struct("distance", "ord", "popular")).alias("m"))
+    return best.where("m.distance > 0").select("ecosystem", "name", "m.popular", "m.distance")
+
+
+def popular_table(spark: SparkSession) -> DataFrame:
+    rows = [(e, n, i) for e, ns in POPULAR.items() for i, n in enumerate(ns)]
+    return spark.createDataFrame(rows, "ecosystem string, name string, ord int")
 
-    def remainders(word: Column) -> Column:
-        one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-        all_, last = F.array(word), F.array(word)
-        for _ in range(max_distance):
-            last = F.array_distinct(F.flatten(F.transform(last, one)))
-            all_ = F.array_union(all_, last)
-        return all_
 
-    a = names.select("name").where("name is not null").distinct().withColumn("r", F.explode(remainders(F.lower("name"))))
-    b = popular.select(F.col("name").alias("popular"), "ord").withColumn("r", F.explode(remainders(F.col("popular"))))
-    near = a.join(b, "r").select("name", "popular", "ord").distinct().withColumn("distance", F.levenshtein(F.lower("name"), F.col("popular")))
-    exact = near.where("distance = 0").select("name")
-    near = near.join(exact, "name", "left_anti").where(F.col("distance").between(1, max_distance))
-    best = near.groupBy("name").agg(F.min(F.struct("distance", "ord", "popular")).alias("m"))
-    return best.select("name", "m.popular", "m.distance")
+def confusion_marker(name: Column) -> Column:
+    """First marker of a private name found in a package name; names that begin with @ and have no slash are exempt."""
+    hits = F.filter(F.array(*[F.lit(m) for m in PRIVATE_MARKERS]), lambda m: F.contains(F.lower(name), m))
+    return F.when(name.startswith("@") & ~F.contains(name, F.lit("/")), None).otherwise(F.try_element_at(hits, F.lit(1)))
 
 
-def popular_table(spark: SparkSession, ecosystem: str | None = None) -> DataFrame:
-    rows = [(n, i) for e, ns in POPULAR.items() if ecosystem in (None, e) for i, n in enumerate(ns)]
-    return spark.createDataFrame(rows, "name string, ord int")
+def licence_concern(name: Column, declared: Column) -> Column:
+    """The copyleft licence a package is known for or declares, else null."""
+    known = None
+    for n, licence in GPL_PACKAGES.items():
+        known = F.when(F.lower(name) == n, licence) if known is None else known.when(F.lower(name) == n, licence)
+    return known.otherwise(F.when(copyleft(declared), declared))
 
 
-def confusion_marker(name: Column) -> Column:
-    """First marker of a private name found in a package name; scoped names (@scope/x) are exempt."""
-    hits = F.filter(F.array(*[F.lit(m) for m in PRIVATE_MARKERS]), lambda m: F.contains(F.lower(name), m))
-    return F.when(name.startswith("@") & F.contains(name, F.lit("/")), None).otherwise(F.try_element_at(hits, F.lit(1)))
+def abandoned(packages: DataFrame, releases: DataFrame, as_of, max_age_days: int = 730) -> DataFrame:
+    """ecosystem, name, last_release, days: packages without a known release, or whose last one is older than ``max_age_days``.
+
+    ``releases``: ecosystem, name, released_at, as an offline copy of an index gives them; ``as_of``: the day that counts.
+    """
+    last = releases.groupBy("ecosystem", "name").agg(F.max("released_at").alias("last_release"))
+    rows = packages.select("ecosystem", "name").where("name is not null").distinct().join(last, ["ecosystem", "name"], "left")
+    days = F.datediff(F.lit(as_of).cast("date"), F.col("last_release").cast("date"))
+    return rows.withColumn("days", days).where(F.col("days").isNull() | (F.col("days") > max_age_days))
 
 
 def copyleft(licence: Column) -> Column:

@@ -11,6 +11,9 @@ from scanloom.session import table
 from scanloom.sources import manifests
 
 
+ECOSYSTEMS = ("cargo", "go", "npm", "pypi")
+
+
 def _packages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "locked_packages").where("name is not null")
     return p.select("lockfile", package_form(F.col("name")).alias("name"), "version", "ecosystem", "integrity").distinct()
@@ -48,15 +51,18 @@ def vex_suppress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typosquat(spark: SparkSession, d: str) -> DataFrame:
-    """Names one or two edits from a name that at least ten lockfiles hold."""
-    p = _packages(spark, d).select("lockfile", "name").distinct()
-    common = p.groupBy("name").agg(F.count("*").alias("n")).where("n >= 10").select("name", F.lit(0).alias("ord"))
-    return deps.typosquats(p, common)
+    """Names one or two edits from a well-known name, or from one that several packages anywhere require."""
+    p = _packages(spark, d).select("lockfile", "name", "ecosystem").distinct()
+    common = _edges(spark, d).groupBy(F.col("dst").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+    common = common.select(F.explode(F.array(*[F.lit(e) for e in ECOSYSTEMS])).alias("ecosystem"), "name", F.lit(1000).alias("ord"))
+    return deps.typosquats(p, deps.popular_table(spark).unionByName(common))
 
 
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    p = _packages(spark, d).select("name").distinct()
-    return p.select("name", deps.confusion_marker(F.col("name")).alias("marker")).where("marker is not null")
+    """Packages and lockfiles' targets named like private ones."""
+    p = _packages(spark, d)
+    names = p.select("name").union(p.select(F.substring_index("lockfile", "/", 1))).distinct()
+    return names.select("name", deps.confusion_marker(F.col("name")).alias("marker")).where("marker is not null")
 
 
 def pinning(spark: SparkSession, d: str) -> DataFrame:
@@ -74,11 +80,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dep_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.closure(_edges(spark, d), ["lockfile"], None)
+    return graph.closure(_edges(spark, d), ["lockfile"])
 
 
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    return graph.impact(graph.closure(_edges(spark, d), ["lockfile"], None), ["lockfile"])
+    return graph.impact(graph.closure(_edges(spark, d), ["lockfile"]), ["lockfile"])
 
 
 def tree_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -119,10 +125,13 @@ SQL = {
     "version_compare": _PK + f"SELECT version, v[1] AS v0, v[2] AS v1, v[3] AS v2, v[4] AS v3 FROM (SELECT DISTINCT version, {_V('version')} AS v FROM pk)",
     "dep_bump_plan": _PK + "SELECT lockfile, name, max(fixed) AS target, string_agg(DISTINCT cve_id, ',') AS cves FROM od GROUP BY 1, 2",
     "vex_suppress": _PK + ", st AS (SELECT name, CASE WHEN min(ecosystem) = 'npm' THEN 'not_affected' ELSE 'affected' END AS s FROM pk GROUP BY 1) SELECT lockfile, od.name AS package, version, cve_id FROM od JOIN st USING (name) WHERE s = 'affected'",
-    "typosquat": _PK + f""", pop AS (SELECT name AS popular FROM (SELECT DISTINCT lockfile, name FROM pk) GROUP BY 1 HAVING count(*) >= 10),
-x AS (SELECT n.name, popular, levenshtein(n.name, popular) AS distance FROM {_NAMES} n, pop WHERE n.name NOT IN (SELECT popular FROM pop)),
-y AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, popular) AS k FROM x WHERE distance BETWEEN 1 AND 2) SELECT name, popular, distance::INT AS distance FROM y WHERE k = 1""",
-    "confusion": _PK + f"SELECT name, CASE {' '.join(f'WHEN contains(name, {chr(39)}{m}{chr(39)}) THEN {chr(39)}{m}{chr(39)}' for m in deps.PRIVATE_MARKERS)} END AS marker FROM {_NAMES} WHERE NOT (starts_with(name, '@') AND contains(name, '/')) AND regexp_matches(name, '{'|'.join(deps.PRIVATE_MARKERS)}')",
+    "typosquat": _E + f""", pk AS (SELECT DISTINCT lockfile, {_N.format('name')} AS name, version, ecosystem FROM locked_packages WHERE name IS NOT NULL),
+pe AS (SELECT DISTINCT lockfile, name, ecosystem FROM pk WHERE ecosystem IS NOT NULL),
+pop AS (SELECT unnest([{', '.join(f"'{e}'" for e in ECOSYSTEMS)}]) AS ecosystem, dst AS popular, 1000 AS ord FROM (SELECT dst FROM e GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT * FROM (VALUES {', '.join(f"('{e}', '{n}', {i})" for e, ns in deps.POPULAR.items() for i, n in enumerate(ns))})),
+x AS (SELECT n.ecosystem, n.name, popular, ord, levenshtein(n.name, popular) AS distance FROM (SELECT DISTINCT ecosystem, name FROM pe) n JOIN pop USING (ecosystem)),
+y AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY distance, ord, popular) AS k FROM x WHERE distance <= 2) SELECT ecosystem, name, popular, distance::INT AS distance FROM y WHERE k = 1 AND distance > 0""",
+    "confusion": _PK + f""", nm AS (SELECT name FROM pk UNION SELECT string_split(lockfile, '/')[1] FROM pk)
+SELECT name, CASE {' '.join(f"WHEN contains(lower(name), '{m}') THEN '{m}'" for m in deps.PRIVATE_MARKERS)} END AS marker FROM nm WHERE NOT (starts_with(name, '@') AND NOT contains(name, '/')) AND regexp_matches(lower(name), '{'|'.join(deps.PRIVATE_MARKERS)}')""",
     "pinning": _PK + "SELECT DISTINCT lockfile, name, version FROM pk WHERE integrity IS NULL OR trim(integrity) = ''",
     "component_list": _PK + "SELECT 'pkg:' || ecosystem || '/' || name || CASE WHEN coalesce(version, '') <> '' THEN '@' || version ELSE '' END AS purl, count(DISTINCT lockfile) AS lockfiles, max(integrity) AS integrity FROM pk WHERE ecosystem IS NOT NULL GROUP BY 1",
     "dep_closure": _E + "SELECT lockfile, src, dst, depth FROM cl",

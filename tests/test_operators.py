@@ -122,6 +122,9 @@ def test_graphs(spark):
     assert closed[("a", "d")] == 3 and closed[("a", "a")] == 3 and ("d", "a") not in closed and len(closed) == 12
     chain = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}") for i in range(12)], "g string, src string, dst string")
     assert graph.closure(chain, ["g"], 5).agg(F.max("depth")).first()[0] == 5
+    joined = {(r["src"], r["dst"]): r["depth"] for r in graph.closure(e, ["g"], group_edges=0).collect()}
+    assert joined == closed
+    assert graph.closure(chain, ["g"], 5, 0).agg(F.max("depth")).first()[0] == 5 and graph.closure(chain, ["g"], None, 0).count() == 78
     p = spark.createDataFrame([("t", "u", "g1", "MemberOf"), ("t", "g1", "admin", "GenericAll"), ("t", "u", "admin", "Owner"), ("t", "g1", "u", "x")], "t string, src string, dst string, relation string")
     starts, goals = (spark.createDataFrame([("t", x)], "t string, node string") for x in ("u", "admin"))
     assert sorted((r["path"], r["score"]) for r in graph.escalation_paths(p, starts, goals, ["t"]).collect()) == [(["u", "admin"], 20), (["u", "g1", "admin"], 25)]
@@ -134,8 +137,8 @@ def test_dependencies(spark):
     p = spark.createDataFrame([("PyYAML", "5.3"), ("django", "4.0"), ("log4j.core", "2.14.1"), ("flask", None)], "name string, version string")
     got = {(r["name"], r["cve_id"]) for r in deps.vulnerable(p, deps.advisories(spark)).collect()}
     assert got == {("PyYAML", "CVE-2020-14343"), ("log4j.core", "CVE-2021-44228"), ("flask", "CVE-2023-30861")}
-    names = spark.createDataFrame([("reqeusts",), ("requests",), ("numpyy",), ("unrelated",), (None,)], "name string")
-    assert {(r["name"], r["popular"], r["distance"]) for r in deps.typosquats(names, deps.popular_table(spark, "pypi")).collect()} == {("reqeusts", "requests", 2), ("numpyy", "numpy", 1)}
+    names = spark.createDataFrame([("pypi", "reqeusts"), ("pypi", "requests"), ("pypi", "numpyy"), ("pypi", "unrelated"), ("pypi", None), (None, "flaskk"), ("npm", "numpyy")], "ecosystem string, name string")
+    assert {(r["name"], r["popular"], r["distance"]) for r in deps.typosquats(names, deps.popular_table(spark)).collect()} == {("reqeusts", "requests", 2), ("numpyy", "numpy", 1)}
     vex = spark.createDataFrame([(1, "C1", "p", "affected"), (2, "C1", "p", "fixed"), (1, "C2", "p", "not_affected")], "ord int, vulnerability string, product string, status string")
     found = spark.createDataFrame([("C1", "p"), ("C2", "p"), ("C3", "p")], "cve_id string, package string")
     kept, off = baseline.suppress_by_vex(found, vex)
