@@ -20,6 +20,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scanloom.workdir import materialise
+
 FANOUT_BITS = 4
 MAX_DEPTH = 12
 #: Rows that a leaf should hold on average.
@@ -79,7 +81,8 @@ def differing_leaves(nodes: DataFrame, pairs: DataFrame, max_depth: int) -> Data
     """Leaves in which paired collections differ, found from the root down.
 
     ``nodes``: a tree (best a written table, as each level reads it); ``pairs``: pair, cur, prev.
-    At each level only children of nodes that differ are compared.  Returns pair, cur, prev, node.
+    At each level only children of nodes that differ are compared; the differing nodes of a level are written, so no
+    level is worked out twice, and the descent ends where none are left.  Returns pair, cur, prev, node.
     """
     sides = pairs.select("pair", F.col("cur").alias("coll"), F.lit(True).alias("is_cur")).unionByName(
         pairs.select("pair", F.col("prev").alias("coll"), F.lit(False).alias("is_cur"))
@@ -94,8 +97,13 @@ def differing_leaves(nodes: DataFrame, pairs: DataFrame, max_depth: int) -> Data
             at.groupBy("pair", "node")
             .agg(F.max("depth").alias("depth"), *[side(c, cur) for c in ("d1", "d2") for cur in (True, False)])
             .where(~(F.col("d1_1").eqNullSafe(F.col("d1_0")) & F.col("d2_1").eqNullSafe(F.col("d2_0"))))
+            .select("pair", "node", "depth")
         )
+        if level < max_depth:
+            dirty = materialise(dirty, "dirty")
         leaf = dirty.where(F.col("depth") == level).select("pair", "node")
         found = leaf if found is None else found.unionByName(leaf)
         parents = dirty.where(F.col("depth") > level).select("pair", F.col("node").alias("parent"))
+        if level < max_depth and parents.isEmpty():
+            break
     return found.join(pairs, "pair").select("pair", "cur", "prev", "node")
