@@ -2,8 +2,9 @@
 
 Current records and the state saved by the last run are compared as Merkle trees over ranges of the
 key's hash.  Only leaves whose digests differ are opened; the changed records in them are extracted.
-``IncrementalStore`` publishes a run's output, its entries and its tree together by one atomic step, so
-a run that fails anywhere leaves the last published version in force.
+``IncrementalStore`` reads the current records once, then publishes a run's output, the entries and nodes of the key
+ranges that changed, together by one atomic step, so a run that fails anywhere leaves the last published version in
+force, and a record that arrives during a run is left to the next.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -74,18 +76,22 @@ def keyed(df: DataFrame, key: str, value: str, coll: str, depth: int) -> DataFra
     )
 
 
-def changed_entries(current: DataFrame, saved: DataFrame, spark: SparkSession, depth: int, saved_tree: DataFrame | None = None) -> DataFrame:
-    """Keys of ``current`` that ``saved`` lacks or has with another value; both in ``keyed`` form.
+_PAIR = "pair int, cur string, prev string"
 
-    The trees are compared from the root down and only leaves that differ are read again.  ``saved_tree``
-    may hold the saved side's nodes as the last run published them.
-    """
-    if saved_tree is None:
-        nodes = materialise(merkle.tree(merkle.leaves(current.unionByName(saved)), depth), "tree")
+
+def differing_nodes(current: DataFrame, saved: DataFrame, spark: SparkSession, depth: int, current_tree: DataFrame | None = None, saved_tree: DataFrame | None = None) -> DataFrame:
+    """node: the leaves in which ``current`` and ``saved`` (``keyed``) differ; trees that are known may be given."""
+    if current_tree is None and saved_tree is None:
+        nodes = merkle.tree(merkle.leaves(current.unionByName(saved)), depth)
     else:
-        nodes = materialise(merkle.tree(merkle.leaves(current), depth).unionByName(saved_tree), "tree")
-    pairs = spark.createDataFrame([(0, "current", "saved")], "pair int, cur string, prev string")
-    dirty = merkle.differing_leaves(nodes, pairs, depth).select("node")
+        sides = [merkle.tree(merkle.leaves(rows), depth) if t is None else t for rows, t in ((current, current_tree), (saved, saved_tree))]
+        nodes = sides[0].unionByName(sides[1])
+    pairs = spark.createDataFrame([(0, "current", "saved")], _PAIR)
+    return merkle.differing_leaves(materialise(nodes, "tree"), pairs, depth).select("node")
+
+
+def changed_in(current: DataFrame, saved: DataFrame, dirty: DataFrame) -> DataFrame:
+    """key, value: keys of ``current`` that ``saved`` lacks or has with another value, looked for in the leaves ``dirty`` alone."""
     both = current.unionByName(saved).join(dirty, "node", "left_semi")
     is_cur = F.col("coll") == "current"
     return (
@@ -108,15 +114,21 @@ def unprocessed_files(source: DataFrame, cache: DataFrame) -> DataFrame:
     depth = merkle.depth_for(current.count())
     current = keyed(current, "file_path", "content_hash", "current", depth)
     saved = materialise(keyed(finished_versions(cache), "file_path", "content_hash", "saved", depth), "saved")
-    return changed_entries(current, saved, spark, depth).select(F.col("key").alias("file_path"), F.col("value").alias("content_hash"))
+    return changed_in(current, saved, differing_nodes(current, saved, spark, depth)).select(F.col("key").alias("file_path"), F.col("value").alias("content_hash"))
+
+
+#: Runs whose deltas are read together; the next one writes everything anew.
+MAX_CHAIN = 16
 
 
 class IncrementalStore:
     """Entries, tree and output of successive runs under one folder.
 
-    ``root/v-N-<id>/{entries,tree,output}`` hold what run N made; ``root/_committed/N.json`` names that
-    folder.  Creating the N-th commit file, which fails if it exists, is the only step that publishes, so
-    a run that stops before it has no effect, and two runs at once can't both publish.
+    ``root/v-N-<id>/{entries,leaves,nodes,output}`` hold what run N made: the entries of the leaves that changed, the
+    numbers of those leaves and the nodes whose digests changed.  ``root/_committed/N.json`` names the folders that
+    together give the state (the last full one and the deltas since).  Creating the N-th commit file, which fails if it
+    exists, is the only step that publishes, so a run that stops before it has no effect, and two runs at once can't
+    both publish.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -145,32 +157,67 @@ class IncrementalStore:
         at = [p for p in at if exists(self.spark, p)]
         return self.spark.read.parquet(*at) if at else None
 
+    def _chain(self, part: str, version: int) -> DataFrame:
+        """Rows of one part of the folders that give a version's state, with the folder's place as ``at``."""
+        folders = self.manifest(version)["chain"]
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{f}/{part}").withColumn("at", F.lit(n)) for n, f in enumerate(folders)])
+
+    def entries(self) -> DataFrame | None:
+        """node, key, value, h1, h2 of the last published state; None before the first run.
+
+        A leaf's entries are those of the latest folder that lists it.
+        """
+        n = self.version()
+        if not n:
+            return None
+        rows = self._chain("entries", n)
+        if len(self.manifest(n)["chain"]) == 1:
+            return rows.drop("at")
+        last = self._chain("leaves", n).groupBy("node").agg(F.max("at").alias("at"))
+        return rows.join(last, ["node", "at"], "left_semi").drop("at")
+
+    def _tree(self, version: int) -> DataFrame:
+        rows = self._chain("nodes", version)
+        if len(self.manifest(version)["chain"]) > 1:
+            rows = rows.groupBy("level", "node").agg(F.max_by(F.struct("depth", "d1", "d2"), "at").alias("v")).select("level", "node", "v.*").where("d1 is not null")
+        return rows.select(F.lit("saved").alias("coll"), "depth", "node", "d1", "d2", "level")
+
     def run(self, current: DataFrame, key: str, value: str, process: Callable[[DataFrame], DataFrame]) -> int:
         """Give ``process`` the new and changed records of ``current``; publish what it returns.
 
-        ``current`` holds each key once, with ``value`` its version.  Returns the new version's number.
-        The tree's depth stays that of the first run unless the record count has outgrown it.
+        ``current`` holds each key once, with ``value`` its version; it is read once, before anything else.  Returns the
+        new version's number.  The tree's depth stays that of the first run unless the record count has outgrown it.
         """
         n, spark = self.version(), self.spark
         old = self.manifest(n) if n else None
         folder = f"{self.root}/v-{n + 1}-{uuid.uuid4().hex[:8]}"
+        current = materialise(current, "current")
         fit = merkle.depth_for(current.count())
         depth = max(fit, old["depth"]) if old else fit
         now = keyed(current, key, value, "current", depth)
-        saved, saved_tree = now.limit(0), None
+        tree = materialise(merkle.tree(merkle.leaves(now), depth), "nodes").select("coll", "depth", "node", "d1", "d2", "level")
+        saved, saved_tree = now.limit(0), tree.limit(0)
         if old:
-            saved = spark.read.parquet(old["folder"] + "/entries").withColumn("coll", F.lit("saved"))
+            saved = self.entries().select(F.lit("saved").alias("coll"), F.lit(depth).alias("depth"), "node", "key", "value", "h1", "h2")
             if old["depth"] == depth:
-                saved_tree = spark.read.parquet(old["folder"] + "/tree").withColumn("coll", F.lit("saved"))
+                saved_tree = materialise(self._tree(n), "nodes")
             else:
-                saved = keyed(saved, "key", "value", "saved", depth)
-        changed = changed_entries(now, saved, spark, depth, saved_tree)
+                saved, saved_tree = materialise(keyed(saved, "key", "value", "saved", depth), "saved"), None
+        dirty = materialise(differing_nodes(now, saved, spark, depth, tree, saved_tree), "dirty")
+        changed = changed_in(now, saved, dirty)
         todo = current.join(changed.select(F.col("key").alias(key)), key, "left_semi")
+        delta = bool(old) and old["depth"] == depth and len(old["chain"]) < MAX_CHAIN
+        entries, leaves, nodes = now, now.select("node").distinct(), tree
+        if delta:
+            entries, leaves = now.join(dirty, "node", "left_semi"), dirty
+            was = saved_tree.select("level", "node", F.lit(depth).alias("_depth"), F.col("d1").alias("_1"), F.col("d2").alias("_2"))
+            nodes = tree.join(was, ["level", "node"], "full_outer").where("not (d1 <=> _1 and d2 <=> _2)").withColumn("depth", F.coalesce("depth", "_depth"))
         try:
             process(todo).write.parquet(f"{folder}/output")
-            now.write.parquet(f"{folder}/entries")
-            merkle.tree(merkle.leaves(now), depth).write.parquet(f"{folder}/tree")
-            self._publish(n + 1, {"folder": folder, "depth": depth})
+            entries.select("node", "key", "value", "h1", "h2").write.parquet(f"{folder}/entries")
+            leaves.select("node").write.parquet(f"{folder}/leaves")
+            nodes.select("depth", "level", "node", "d1", "d2").write.parquet(f"{folder}/nodes")
+            self._publish(n + 1, {"folder": folder, "depth": depth, "chain": [*old["chain"], folder] if delta else [folder]})
         except BaseException:
             delete(spark, folder)
             raise

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom.operators import hierarchy, incremental, snapshots
 from scanloom.session import table
+from scanloom.workdir import work_path
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +32,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.unprocessed_files(table(spark, d, "source_files"), table(spark, d, "file_cache"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_descendants, p4_found)}
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What three runs of a store processed: the deliveries up to the middle day, a run that fails midway, all deliveries."""
+    source = table(spark, d, "source_files")
+    middle = source.agg(F.floor((F.min("batch_no") + F.max("batch_no")) / 2)).first()[0]
+    store = incremental.IncrementalStore(spark, work_path(spark, "store"))
+    first = incremental.current_versions(source.where(F.col("batch_no") <= F.lit(middle)))
+    everything = incremental.current_versions(source)
+
+    def failing(todo: DataFrame) -> DataFrame:
+        raise RuntimeError("lost midway")
+
+    store.run(first, "file_path", "content_hash", lambda todo: todo.withColumn("run", F.lit(1)))
+    try:
+        store.run(everything, "file_path", "content_hash", failing)
+    except RuntimeError:
+        store.run(everything, "file_path", "content_hash", lambda todo: todo.withColumn("run", F.lit(2)))
+    return store.output().select("run", "file_path", "content_hash")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_descendants, p4_found, p4_runs)}
 
 _PATH = "regexp_replace(replace({0}, '\\', '/'), '^(\\./+)+', '')"
 _NAME = "translate(lower({0}), '_.', '--')"
@@ -67,7 +87,12 @@ reach AS (SELECT lockfile, src, dst FROM e UNION SELECT reach.lockfile, reach.sr
 c AS (SELECT DISTINCT lockfile, src AS name FROM reach WHERE src = dst)
 """
 
+_VERSIONS = f"""SELECT file_path, content_hash FROM (SELECT {_PATH.format('file_path')} AS file_path, regexp_replace(lower(trim(content_hash)), '^sha256:', '') AS content_hash, coalesce(is_deleted, false) AS gone,
+    row_number() OVER (PARTITION BY {_PATH.format('file_path')} ORDER BY modified_at DESC, delivered_at DESC) AS k FROM source_files WHERE file_path IS NOT NULL{{0}}) WHERE k = 1 AND NOT gone"""
+
 SQL = {
+    "p4_runs": f"""WITH m AS (SELECT floor((min(batch_no) + max(batch_no)) / 2) AS n FROM source_files), a AS ({_VERSIONS.format(' AND batch_no <= (SELECT n FROM m)')}), b AS ({_VERSIONS.format('')})
+SELECT 1::INT AS run, file_path, content_hash FROM a UNION ALL SELECT 2::INT, b.file_path, b.content_hash FROM b LEFT JOIN a USING (file_path) WHERE a.file_path IS NULL OR a.content_hash IS DISTINCT FROM b.content_hash""",
     "p1_found": _P1 + "SELECT scan_id, change_kind, rule_id, file_path, line_number FROM j WHERE change_kind IS NOT NULL",
     "p1_counts": _P1
     + "SELECT scan_id, "

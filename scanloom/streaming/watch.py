@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scanloom.operators.incremental import IncrementalStore
 from scanloom.operators.rules import RULES, Rule, scan
+from scanloom.workdir import materialise
 
 
 def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, rules: tuple[Rule, ...] = RULES, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
@@ -24,15 +25,12 @@ def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, rules:
 
     def batch(df: DataFrame, _: int) -> None:
         s = IncrementalStore(df.sparkSession, store)
-        latest = df.groupBy("file_path").agg(F.max_by("content", "at").alias("content")).withColumn("content_hash", F.sha2("content", 256)).persist()
-        try:
-            current = latest.select("file_path", "content_hash")
-            if (n := s.version()):
-                known = df.sparkSession.read.parquet(s.manifest(n)["folder"] + "/entries").select(F.col("key").alias("file_path"), F.col("value").alias("content_hash"))
-                current = current.unionByName(known.join(latest, "file_path", "left_anti"))
-            s.run(current, "file_path", "content_hash", lambda todo: scan(latest.join(todo.select("file_path"), "file_path", "left_semi"), rules))
-        finally:
-            latest.unpersist()
+        latest = materialise(df.groupBy("file_path").agg(F.max_by("content", "at").alias("content")).withColumn("content_hash", F.sha2("content", 256)), "batch")
+        current = latest.select("file_path", "content_hash")
+        if s.version():
+            known = s.entries().select(F.col("key").alias("file_path"), F.col("value").alias("content_hash"))
+            current = current.unionByName(known.join(latest, "file_path", "left_anti"))
+        s.run(current, "file_path", "content_hash", lambda todo: scan(latest.join(todo.select("file_path"), "file_path", "left_semi"), rules))
 
     q = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if once else q.trigger(processingTime=every)).start()

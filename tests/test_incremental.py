@@ -53,6 +53,36 @@ def test_store_survives_failures_and_repeats_nothing(spark, tmp_path):
     assert spark.read.parquet(store.manifest(3)["folder"] + "/output").count() == 0
 
 
+def test_deltas_give_the_whole_state(spark, tmp_path, monkeypatch):
+    """Runs publish the ranges that changed; a chain of them reads like a full state, removed keys included."""
+    monkeypatch.setattr(incremental, "MAX_CHAIN", 3)
+    store = incremental.IncrementalStore(spark, f"file://{tmp_path}/s")
+    state = {f"k{n}": "1" for n in range(300)}
+    steps = [{}, {"k1": "2", "k7": "2"}, {"k1": None, "k8": "3", "x": "1"}, {"k1": "2"}, {}]
+    for n, step in enumerate(steps, 1):
+        state = {k: v for k, v in (state | step).items() if v is not None}
+        store.run(spark.createDataFrame(sorted(state.items()), "k string, v string"), "k", "v", lambda df: df)
+        assert {(r["key"], r["value"]) for r in store.entries().collect()} == set(state.items())
+        out = {tuple(r) for r in spark.read.parquet(store.manifest(n)["folder"] + "/output").collect()}
+        assert out == (set(state.items()) if n == 1 else {(k, v) for k, v in step.items() if v is not None})
+        assert len(store.manifest(n)["chain"]) == (1, 2, 3, 1, 2)[n - 1]
+
+
+def test_a_source_that_changes_during_a_run_loses_nothing(spark, tmp_path):
+    source = f"{tmp_path}/source"
+    spark.createDataFrame([("a", "1")], "k string, v string").write.parquet(source)
+    store = incremental.IncrementalStore(spark, f"file://{tmp_path}/s")
+    now = lambda: spark.read.schema("k string, v string").parquet(source)
+
+    def process(todo):
+        spark.createDataFrame([("b", "1")], "k string, v string").write.mode("append").parquet(source)
+        return todo
+
+    store.run(now(), "k", "v", process)
+    store.run(now(), "k", "v", lambda df: df)
+    assert sorted(tuple(r) for r in store.output().collect()) == [("a", "1"), ("b", "1")]
+
+
 def test_two_runs_cannot_publish_one_version(spark, tmp_path):
     store = incremental.IncrementalStore(spark, f"file://{tmp_path}/s")
     store._publish(1, {"folder": "a", "depth": 0})
