@@ -1,7 +1,9 @@
 """Credentials in source lines: find each secret value and replace it by a placeholder of its own shape.
 
-Every line is searched.  Values in issuers' formats are matched anywhere and their structure is checked; other values count by their place: an assignment to a secret's name, a URL's or
-connection string's password, an authorization scheme, a login call, a command-line flag, a comment that
+A keyword automaton decides which patterns a line is searched by: what every match of a pattern must hold is found
+in one pass, and patterns without a keyword in the line are left out, which changes no result (``_spans`` with
+``every`` says so).  Values in issuers' formats are matched anywhere and their structure is checked; other values count
+by their place: an assignment to a secret's name, a URL's or connection string's password, an authorization scheme, a login call, a command-line flag, a comment that
 hands over a login.  Every candidate value must look like a value: lookups, prompts, placeholders, masked
 values, names and digests with a prefix don't.  A value split into adjoining literals is put together first.
 """
@@ -9,13 +11,16 @@ values, names and digests with a prefix don't.  A value split into adjoining lit
 from __future__ import annotations
 
 import base64
+import bisect
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,7 +30,6 @@ ISSUERS = (
     ("slack", r"xox[abeoprs]-(?:\d{8,14}-){1,3}[A-Za-z0-9]{16,48}"), ("aws", r"(?:AKIA|ASIA)[A-Z0-9]{16}"), ("google", r"AIza[A-Za-z0-9_-]{35}"),
     ("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{20,64}"), ("npm", r"npm_[A-Za-z0-9]{36}"), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}"),
     ("sendgrid", r"SG\.[A-Za-z0-9_-]{20,24}\.[A-Za-z0-9_-]{39,50}"), ("pypi", r"pypi-[A-Za-z0-9_-]{50,}"), ("hub", r"hf_[A-Za-z0-9]{34}"),
-    ("tmx", r"tmx_[A-Z0-9]{6}(?:_[A-Z0-9]{6}){3}"), ("qvx", r"qvx-[a-z0-9]{8}\.[A-Za-z0-9]{27}"),
 )
 
 # Endings of names (lower case, separators left out) whose values are secrets, and words that say otherwise.
@@ -37,8 +41,20 @@ NAME_ENDS = (
 NAME_LAST_WORDS = ("pass", "pw", "pwd", "psw")
 NAME_NEGATIVE = frozenset("hint label placeholder header headers env public csrf xsrf dummy".split())
 
+# What every match of a pattern holds, in lower case.  Names are looked for in the line's letters alone, so
+# that separators and digits within them don't matter.
+NEEDS = {
+    "pem": ("-----begin",), "userinfo": ("://", "@tcp(", "@unix("), "scheme": ("bearer", "basic", "token"), "sql": ("password", "identified"), "curl": ("-u",), "noted": ("value",),
+    "issuer": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "akia", "asia", "aiza", "k_live_", "k_test_", "npm_", "eyj", "sg.", "pypi-", "hf_"),
+    "prefixed": ("_", "-"), "flag": ("sshpass", "docker", "mysql", "pass", "token", "api", "secret"), "handover": ("svc_", "_bot", "admin", "root", "user"), "comment": ("//", "#", "/*", "--", ";", "%"),
+    "fallback": ("or", "||", "??"), "user": ("svc_", "_bot", "admin", "root", "postgres", "_user", "_svc", '"sa"', "'sa'", "`sa`"),
+    "call": ("pass", "token", "secret", "api", "credential", "auth", "login", "log_in", "signin", "pdo", "connect"),
+}
+
 _EDGE, _END = r"(?<![A-Za-z0-9_-])", r"(?![A-Za-z0-9_-])"
 _ISSUER = re.compile(_EDGE + "(?:" + "|".join(f"(?P<{n}>{p})" for n, p in ISSUERS) + ")" + _END)
+#: Tokens of other issuers: a short prefix, a separator and a long random body.
+_PREFIXED_TOKEN = re.compile(_EDGE + r"[A-Za-z]{2,8}[_-](?P<body>[A-Za-z0-9]{6,}(?:[._-][A-Za-z0-9]{6,})*)" + _END)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 _PEM_BODY = re.compile(r"(?:\\[nr]|\s|[\"'+.])*[A-Za-z0-9+/=]{16,}")
 _JOIN = re.compile(r"([\"'`])\s*(?:\+|\.{1,2}|&)\s*([\"'`])")
@@ -46,7 +62,7 @@ _JOIN = re.compile(r"([\"'`])\s*(?:\+|\.{1,2}|&)\s*([\"'`])")
 _Q = r"(?:\"(?P<d>(?:[^\"\\]|\\.)*)\"|'(?P<s>(?:[^'\\]|\\.)*)'|`(?P<b>[^`]*)`)"
 _BARE = r"(?P<w>[^\s\"'`,;(){}\[\]<>|]+)(?![^\s\"'`,;){}\]<>|])"
 _NAMED = re.compile(
-    r"(?<![\w$-])(?P<name>[A-Za-zÀ-ÿ_$][\wÀ-ÿ$-]{0,120})(?:[\"'`\]]{0,2})"
+    r"(?<![\w$-])(?P<name>[A-Za-zÀ-ÿ_$][\wÀ-ÿ$-]*)(?:[\"'`\]]{0,2})"
     r"(?:\s*:\s*(?:str|string|String|\w*String))?"
     r"(?:\s*(?::=|=>|=|:)\s*|\s+(?=[\"'])|[\"']\s*,\s*(?:(?:use)?[Vv]alue\s*[:=]\s*)?|\s*,\s*useValue\s*:\s*|\"\s+value=|[\"']?>)"
     rf"(?:{_Q}|{_BARE})"
@@ -59,7 +75,7 @@ _FLAG = re.compile(rf"(?i)(?:\bsshpass\s+-p\s*|\bdocker\s+login\b.*?\s-p\s+|\bmy
 _CURL_USER = re.compile(rf"(?:\s-u|--user)\s*[\"']?[\w.@-]+:(?P<v>[^\s\"'`]+)")
 _NOTED = re.compile(rf"\bvalue\s*[:=]\s*{_Q}\s*,?\s*(?:#|//)[^\n]*\b(?:token|secret|password|api[_ ]?key|credential|senha|clave)\b", re.I)
 _HANDOVER = re.compile(r"(?i)\b(?:svc_\w+|\w+_bot|admin|root|user\w*)\s*/\s*(?P<v>[^\s\"'`/]{6,})")
-_COMMENT = re.compile(r"(?:^|\s)(?://|#|/\*|--|<!--|;|%)\s*.*?[:=]\s*(?P<v>[A-Za-z0-9+/=_.~-]{12,})\s*(?:\*/|-->)?\s*$")
+_COMMENT = re.compile(r"(?m)(?:^|\s)(?://|#|/\*|--|<!--|;|%)\s*.*?[:=]\s*(?P<v>[A-Za-z0-9+/=_.~-]{12,})\s*(?:\*/|-->)?\s*$")
 _FALLBACK = re.compile(rf"(?:\bor\b|\|\||\?\?)\s*{_Q}")
 _QUOTED = re.compile(_Q)
 _USER = re.compile(r"(?i)^(?:svc_\w+|\w+_bot|admin|root|sa|postgres|[a-z]+_(?:user|svc))$")
@@ -98,9 +114,13 @@ def namelike(value: str) -> bool:
     return bool(_NAMELIKE.match(value))
 
 
+#: Shorter values are words or placeholders too often (a parameter of what counts as a value).
+LEAST = 6
+
+
 def plausible(value: str) -> bool:
     """Whether a literal can be a secret written out at all."""
-    return 6 <= len(value) <= 4096 and not re.search(r"\s", value) and len(set(value)) > 3 and not _PLACEHOLDER.search(value) and not _PREFIXED.match(value)
+    return len(value) >= LEAST and not re.search(r"\s", value) and len(set(value)) > 3 and not _PLACEHOLDER.search(value) and not _PREFIXED.match(value)
 
 
 def literal_secret(value: str) -> bool:
@@ -145,6 +165,33 @@ def issuer_valid(kind: str, value: str) -> bool:
     return True
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_holds(kind: str, value: str) -> bool | None:
+    """Whether an issuer's published checksum holds; None for issuers without one.
+
+    Tokens of the two code forges' kinds end with the CRC-32 of their random part in six digits to the base 62.  It is
+    reported, not required: a mistyped or shortened secret is still to be redacted.
+    """
+    if kind not in ("github", "npm"):
+        return None
+    body = value.split("_", 1)[1]
+    number, digits = zlib.crc32(body[:-6].encode()), ""
+    while number:
+        number, k = divmod(number, 62)
+        digits = _BASE62[k] + digits
+    return body[-6:] == digits.rjust(6, "0")
+
+
+def token_like(m: re.Match) -> bool:
+    """A prefixed token: 20 characters or more that look drawn at random, digits and capitals among them, under a prefix that names nothing public."""
+    body = m.group("body")
+    flat = re.sub(r"[._-]", "", body)
+    drawn = len(flat) >= 20 and re.search(r"\d", flat) is not None and re.search(r"[A-Z]", flat) is not None and entropy(flat) > 3.4
+    return drawn and plausible(body) and not _HEX.match(body) and not re.match(r"(?i)(?:pk|pub\w*|sha\d*|md|id|uid|uuid|rev|ref|build|etag|hash)[_-]", m.group())
+
+
 def _group(m: re.Match) -> tuple[int, int] | None:
     for g in ("d", "s", "b"):
         if m.group(g) is not None:
@@ -152,32 +199,75 @@ def _group(m: re.Match) -> tuple[int, int] | None:
     return None
 
 
-def _spans(line: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of secret values in a line whose split literals are joined."""
+@lru_cache(1)
+def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    groups: dict[str, list[str]] = {}
+    for group, words in NEEDS.items():
+        for w in words:
+            groups.setdefault(w, []).append(group)
+    places, names = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for w, gs in groups.items():
+        places.add_word(w, tuple(gs))
+    for w in (*NAME_ENDS, *NAME_LAST_WORDS):
+        names.add_word(w, True)
+    places.make_automaton()
+    names.make_automaton()
+    return places, names
+
+
+# Letters that case-blind patterns take for Latin ones.
+_FOLDED = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+_NO_LETTERS = re.compile(r"[^A-Za-zÀ-ÿ]+")
+
+
+def needed(line: str) -> set[str]:
+    """The patterns whose keywords a line holds."""
+    places, names = _automata()
+    low = line.lower() if line.isascii() else line.translate(_FOLDED).lower()
+    out: set[str] = set()
+    for _, groups in places.iter(low):
+        out.update(groups)
+    if next(names.iter(_NO_LETTERS.sub("", line).lower()), None):
+        out.add("named")
+    return out
+
+
+def _spans(line: str, every: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of secret values in a line whose split literals are joined; with ``every`` all patterns are tried."""
     found: dict[int, tuple[int, str]] = {}
+    starts: list[int] = []
+    want = {*NEEDS, "named"} if every else needed(line)
+
+    def matches(group: str, pattern: re.Pattern) -> Iterator[re.Match]:
+        return pattern.finditer(line) if group in want else iter(())
 
     def add(a: int, b: int, kind: str) -> None:
-        if a < b and not any(x < b and a < y for x, (y, _) in found.items()):
+        n = bisect.bisect_left(starts, a)
+        if a < b and (n == 0 or found[starts[n - 1]][0] <= a) and (n == len(starts) or b <= starts[n]):
             found[a] = (b, kind)
+            starts.insert(n, a)
 
-    for m in _PEM.finditer(line):
+    for m in matches("pem", _PEM):
         body = _PEM_BODY.match(line, m.end())
         if body or not line[m.end() :].strip():
             end = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(line, m.end())
             add(m.start(), end.end() if end else (body.end() if body else m.end()), "private_key")
-    for m in _ISSUER.finditer(line):
+    for m in matches("issuer", _ISSUER):
         if issuer_valid(m.lastgroup, m.group()):
             add(m.start(), m.end(), m.lastgroup)
-    for m in _USERINFO.finditer(line):
+    for m in matches("prefixed", _PREFIXED_TOKEN):
+        if token_like(m):
+            add(m.start(), m.end(), "token")
+    for m in matches("userinfo", _USERINFO):
         g = "v" if m.group("v") is not None else "v2"
         if plausible(m.group(g)) and not re.match(r"^[a-z]+$", m.group(g)):
             add(*m.span(g), "url_password")
-    for m in _SCHEME.finditer(line):
+    for m in matches("scheme", _SCHEME):
         v = m.group("v")
         if plausible(v) and not namelike(v) and (len(v) >= 16 or classes(v) >= 3) and (re.search(r"\d", v) or m.group("scheme").lower() == "basic" or v.isalpha()):
             add(*m.span("v"), "authorization")
     at = 0
-    while m := _NAMED.search(line, at):
+    while "named" in want and (m := _NAMED.search(line, at)):
         at = m.end("name")
         if not secret_name(m.group("name")):
             continue
@@ -187,38 +277,39 @@ def _spans(line: str) -> list[tuple[int, int, str]]:
                 add(*span, "named")
         elif bare_secret(m.group("w").rstrip(".:")) and line[m.end("w") : m.end("w") + 1] not in ("(", "[", "{"):
             add(m.start("w"), m.start("w") + len(m.group("w").rstrip(".:")), "named")
-    for m in _SQL.finditer(line):
+    for m in matches("sql", _SQL):
         span = _group(m)
         if literal_secret(line[slice(*span)]):
             add(*span, "sql")
-    for m in _FLAG.finditer(line):
+    for m in matches("flag", _FLAG):
         span = _group(m) or m.span("w")
         if password_value(line[slice(*span)]) or random_value(line[slice(*span)]):
             add(*span, "flag")
-    for m in _CURL_USER.finditer(line):
+    for m in matches("curl", _CURL_USER):
         if password_value(m.group("v")):
             add(*m.span("v"), "flag")
-    for m in _HANDOVER.finditer(line):
+    for m in matches("handover", _HANDOVER):
         if password_value(m.group("v")):
             add(*m.span("v"), "comment")
-    if m := _COMMENT.search(line):
-        handed = re.search(r"(?i)\U0001f511|remove before|temp(?:orary)? (?:key|token|secret)", line[: m.start("v")])
+    for m in matches("comment", _COMMENT):
+        before = line[m.start() : m.start("v")]
         if re.match(r"^[\w-]+(?:/[\w-]+)+\.\w+$", m.group("v")):
-            pass
-        elif random_value(m.group("v")) and len(m.group("v")) >= 16 or handed and _HEX.match(m.group("v")) or password_value(m.group("v")) and re.search(r"(?i)pass|pw|login|senha|contrase|clave", line[: m.start("v")]):
+            continue
+        handed = re.search(r"(?i)\b(?:key|token|secret|credential)s?\b|\b(?:remove|delete|rotate|revoke)\b|\U0001f511", before)
+        if random_value(m.group("v")) and len(m.group("v")) >= 16 or handed and _HEX.match(m.group("v")) or password_value(m.group("v")) and re.search(r"(?i)pass|pw|login|senha|contrase|clave", before):
             add(*m.span("v"), "comment")
-    for m in _NOTED.finditer(line):
+    for m in matches("noted", _NOTED):
         span = _group(m)
         if literal_secret(line[slice(*span)]):
             add(*span, "noted")
-    for m in _FALLBACK.finditer(line):
+    for m in matches("fallback", _FALLBACK):
         span = _group(m)
         v = line[slice(*span)]
         if len(v) >= 16 and (random_value(v) or (_HEX.match(v) and plausible(v))):
             add(*span, "fallback")
-    quoted = [(m, _group(m)) for m in _QUOTED.finditer(line)]
+    quoted = [(m, _group(m)) for m in _QUOTED.finditer(line)] if want & {"user", "call"} else []
     for n, (m, span) in enumerate(quoted):
-        if _USER.match(line[slice(*span)]):
+        if "user" in want and _USER.match(line[slice(*span)]):
             # what follows a user name in the same argument list is its password or key
             for (p, _), (q, nxt) in zip(quoted[n:], quoted[n + 1 :], strict=False):
                 if not re.fullmatch(r"\s*,\s*", line[p.end() : q.start()]):
@@ -226,7 +317,7 @@ def _spans(line: str) -> list[tuple[int, int, str]]:
                 v = line[slice(*nxt)]
                 if literal_secret(v) and (password_value(v) or random_value(v) or _HEX.match(v)):
                     add(*nxt, "call")
-    for m in _CALLS.finditer(line):
+    for m in matches("call", _CALLS):
         args = [(q, s) for q, s in quoted if q.start() >= m.end()][:3]
         if args and re.fullmatch(r"\s*(?:[$\w.]+\s*,\s*){0,2}", line[m.end() : args[0][0].start()]):
             first = line[slice(*args[0][1])]
@@ -272,21 +363,20 @@ def placeholder(value: str) -> str:
 
 
 def redact(line: str, found: list[tuple[list[tuple[int, int]], str]]) -> str:
-    for pieces, kind in found:
-        for a, b in pieces:
-            body = line[a:b]
-            if kind == "private_key":
-                body = re.sub(r"[A-Za-z0-9+/=]{16,}", lambda m: placeholder(m.group()), body)
-            else:
-                body = placeholder(body)
-            line = line[:a] + body + line[b:]
-    return line
+    out, at = [], 0
+    for a, b, kind in sorted((a, b, kind) for pieces, kind in found for a, b in pieces):
+        body = line[a:b]
+        out += [line[at:a], re.sub(r"[A-Za-z0-9+/=]{16,}", lambda m: placeholder(m.group()), body) if kind == "private_key" else placeholder(body)]
+        at = b
+    return "".join([*out, line[at:]])
 
 
 def secret_value(name: str | None, value: str) -> bool:
     """Whether a stored value is a secret written out, given the name it was assigned to."""
     if (m := _ISSUER.fullmatch(value)) and issuer_valid(m.lastgroup, value):
         return True
+    if (m := _PREFIXED_TOKEN.fullmatch(value)) and token_like(m):
+        return True
     return name is not None and secret_name(name) and literal_secret(value)
 
 
@@ -308,13 +398,13 @@ def _find_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 inner = kept(text) if len(text) <= KEPT_CHARS else find_secrets(text)
             if inner:
                 clean = redact(text, inner)
-                rows += [(field, row_id, pieces[0][0] + 1, kind, clean) for pieces, kind in inner]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["field_name", "row_id", "start_pos", "kind", "redacted"])
+                rows += [(field, row_id, pieces[0][0] + 1, kind, clean, checksum_holds(kind, "".join(text[a:b] for a, b in pieces))) for pieces, kind in inner]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["field_name", "row_id", "start_pos", "kind", "redacted", "checksum_holds"])
 
 
 def credentials(fields: list[tuple[str, DataFrame]]) -> DataFrame:
-    """field_name, row_id, start_pos, kind, redacted: one row per credential.
+    """field_name, row_id, start_pos, kind, redacted, checksum_holds: one row per credential.
 
     ``fields``: pairs of a field's name and a frame row_id, name (of the variable, or null), text.  ``start_pos``
     counts code points from 1 at the value's first piece; ``redacted`` is the whole text with all its secret
@@ -322,4 +412,4 @@ def credentials(fields: list[tuple[str, DataFrame]]) -> DataFrame:
     are searched whole; repeated rows give a row each (by their row_id); empty tables give no rows.
     """
     one = [f.select(F.lit(n).alias("field_name"), F.col("row_id").cast("long"), F.col("name").cast("string").alias("name"), "text").where("text is not null and text <> ''") for n, f in fields]
-    return reduce(DataFrame.unionByName, one).mapInArrow(_find_batches, "field_name string, row_id long, start_pos int, kind string, redacted string")
+    return reduce(DataFrame.unionByName, one).mapInArrow(_find_batches, "field_name string, row_id long, start_pos int, kind string, redacted string, checksum_holds boolean")
