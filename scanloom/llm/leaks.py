@@ -6,13 +6,16 @@ document that holds the passage within the budget holds a piece exactly.  Pieces
 dictionary while a document is read, and each hit is verified by bit-parallel edit distance (one machine
 word holds a whole column of the dynamic programme) around the place it points to.
 
-Items go to the tasks in blocks of a checked size; documents are read once per block and never shuffled.
+The budget goes with the passage's length: one edit for every ``WORDS_AN_EDIT`` words, so that a short item isn't
+found in a text that shares a word with it.  Items go to the tasks in blocks of a checked size, whose index is built
+once in each Python worker; documents are read once per block and never shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -23,8 +26,9 @@ from scanloom.session import spread
 
 WINDOW = 13
 EDITS = 2
-#: Characters of item text that one block may hold.
-BLOCK_CHARS = 32 << 20
+WORDS_AN_EDIT = 5
+#: Characters of item text that one block may hold; its index takes about eighty times as many bytes.
+BLOCK_CHARS = 4 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -69,6 +73,10 @@ def best_distance(masks: dict[int, int], m: int, text: list[int], limit: int) ->
     return best if best <= limit else limit + 1
 
 
+def budget(words: int, edits: int) -> int:
+    return min(edits, words // WORDS_AN_EDIT)
+
+
 class Index:
     """Pieces of a block of items."""
 
@@ -85,7 +93,7 @@ class Index:
             n = len(self.items)
             self.items.append((item_id, ws))
             m = min(len(ws), window)
-            count = min(edits, m - 1) + 1
+            count = budget(m, edits) + 1
             for start in range(len(ws) - m + 1):
                 for a, k in pieces(start, m, count):
                     at = self.pieces.setdefault(tuple(ws[a : a + k]), [])
@@ -109,7 +117,7 @@ class Index:
                     seen.add(where)
                     passage = self.items[n][1]
                     m = min(len(passage), self.window)
-                    limit = min(self.edits, m - 1)
+                    limit = budget(m, self.edits)
                     masks = self.masks.get((n, start))
                     if masks is None:
                         masks = self.masks[n, start] = column_masks(passage[start : start + m])
@@ -124,11 +132,22 @@ class Index:
         return out
 
 
+_BUILT: dict[tuple, Index] = {}
+
+
+def _index_of(key: tuple, items: list[tuple[int, str | None]], window: int, edits: int) -> Index:
+    """The block's index, built once per worker; only the last one is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Index(items, window, edits)
+    return _BUILT[key]
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, edits: the least number of word edits between a passage of the item and the document.
 
-    ``docs``: doc_id, text; ``items``: item_id, text; other columns are ignored.  Pairs within the budget come
-    out once.  ``edits`` 0 means that ``window`` words of the item stand in the document in a row, or all words
+    ``docs``: doc_id, text; ``items``: item_id, text; other columns are ignored.  Pairs within the budget (``edits``, or one edit for
+    every five words of a shorter item) come out once.  ``edits`` 0 means that ``window`` words of the item stand in the document in a row, or all words
     of a shorter item.  Texts without a word match nothing; repeated documents give equal rows, of which one
     stays; empty tables give no rows.  The items are collected in blocks of at most ``block_chars`` characters
     (a single longer item is a block of its own).
@@ -142,8 +161,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, edits: int =
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).select("item_id", "text").collect()
         index = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            found = Index(index.value, window, edits)
+        def run(batches: Iterator[pa.RecordBatch], index=index, key=(uuid.uuid4().hex, n)) -> Iterator[pa.RecordBatch]:
+            found = _index_of(key, index.value, window, edits)
             for b in batches:
                 doc, item, dist = [], [], []
                 for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -20,7 +20,46 @@ def test_exact_and_near():
 
 
 def test_short_items():
-    assert search("so yes indeed", [(1, "Yes!"), (2, "yes indeed"), (3, "indeed yes"), (4, ""), (5, None), (6, "...")]) == {1: 0, 2: 0, 3: 1}
+    assert search("so yes indeed", [(1, "Yes!"), (2, "yes indeed"), (3, "indeed yes"), (4, ""), (5, None), (6, "...")]) == {1: 0, 2: 0}
+    assert search("we saw remote printers in the hall", [(1, "remote code execution")]) == search("learn sql today", [(1, "sql injection")]) == {}
+    assert search("a wholly new plan for the winter", [(1, "a whole new plan for"), (2, "an old plan")]) == {1: 1}
+
+
+def brute_leaks(text, item, window, edits):
+    """Least edit distance of any passage to any run of words, by the full table."""
+    t, w = leaks.words_of(text), leaks.words_of(item)
+    m = min(len(w), window)
+    best = None
+    for start in range(len(w) - m + 1) if w else ():
+        p = w[start : start + m]
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        d = min(row)
+        if d <= min(edits, m // 5) and (best is None or d < best):
+            best = d
+    return best
+
+
+def test_near_cases_against_brute_force():
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(40)]
+    items = [(n, " ".join(rng.choice(words) for _ in range(rng.randint(1, 18)))) for n in range(25)]
+    index = leaks.Index(items, 13, 2)
+    for _ in range(80):
+        doc = [rng.choice(words) for _ in range(rng.randint(0, 20))]
+        src = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(src))
+            src[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+            src = src or ["w0"]
+        doc[2:2] = src
+        text = " ".join(doc)
+        want = {i: d for i, t in items if (d := brute_leaks(text, t, 13, 2)) is not None}
+        assert index.search(text) == want
 
 
 def test_distance_against_dynamic_programme():
