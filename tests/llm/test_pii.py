@@ -16,30 +16,54 @@ def found(tagger, text):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("Please contact Corwin Birkingham at c.birk@norlith.test before the embargo ends.", [("person_name", "Corwin Birkingham"), ("email", "c.birk@norlith.test")]),
-        ("Reported by STENCOMBE, Tavin through the private form.", [("person_name", "STENCOMBE, Tavin")]),
-        ("Callback for the on-call lead: (202) 555-0116.", [("phone", "(202) 555-0116")]),
-        ("O log gravou CPF 308.156.907-46 em texto claro.", [("id_number", "308.156.907-46")]),
-        ("address: 1131 North Cinderpath Street", [("street_address", "1131 North Cinderpath Street")]),
-        ("clone git@code.api4.velmond.example:maple/folder.git first.", []),
+        ("My colleague Kwame Nkrumah-Boateng wrote the runbook.", [("person_name", "Kwame Nkrumah-Boateng")]),
+        ("Talk to Ana Lima and Priya Raghunathan about the outage; Ana Lima agreed.", [("person_name", "Ana Lima"), ("person_name", "Priya Raghunathan"), ("person_name", "Ana Lima")]),
+        ("I spoke with Rebecca Thompson about this bug.", [("person_name", "Rebecca Thompson")]),
+        ("Yours sincerely, Olivia Martin", [("person_name", "Olivia Martin")]),
+        ("Our office moved to 12 Gresham Street last week.", [("street_address", "12 Gresham Street")]),
+        ("Sent to us by J. Wu on Monday.", [("person_name", "J. Wu")]),
+        ("Mail d.evans@norlith.test or dana [at] velmond [dot] test.", [("email", "d.evans@norlith.test"), ("email", "dana [at] velmond [dot] test")]),
+        ("Call me at (202) 555-0116.", [("phone", "(202) 555-0116")]),
+        ("Encontramos o CPF 308.156.907-46 no log.", [("id_number", "308.156.907-46")]),
+        ("clone git@code.velmond.example:maple/folder.git first.", []),
         ("pinned maremond@4.2.34 and ondadegane@6.22.13.", []),
-        ("After the patch, Cedar Paddle rejects any member longer than 7983 bytes.", []),
-        ("range 100-200-3000 of shard 62.", []),
+        ("The service Copper Harbor rejects members longer than 7983 bytes.", []),
+        ("order 100-200-3000 of shard 62", []),
+        ("Nada mudou desde a versão 4.2 do pacote.", []),
     ],
 )
 def test_sentences(tagger, text, want):
     assert found(tagger, text) == want
 
 
-def test_held_out_sample(tagger):
-    """Sentences made with another seed: nearly everything is found where it is, and little else."""
-    names = {"name": "person_name", "address": "street_address", "email": "email", "phone": "phone", "id": "id_number"}
+NAMES = {"name": "person_name", "address": "street_address", "email": "email", "phone": "phone", "id": "id_number"}
+
+
+def score(tagger, docs):
     hit = miss = extra = 0
-    for text, spans in pii_training.Maker(4242).documents(2500):
-        want = {(names[k], a) for a, _, k in spans}
+    for text, spans in docs:
+        want = {(NAMES[k], a) for a, _, k in spans}
         got = {(k, a) for k, a, _ in pii.find(tagger, [text])[0]}
         hit, miss, extra = hit + len(want & got), miss + len(want - got), extra + len(got - want)
-    assert hit / (hit + miss) > 0.97 and hit / (hit + extra) > 0.97
+    return hit / (hit + miss), hit / (hit + extra)
+
+
+def test_held_out_sentences_and_names(tagger):
+    """Sentences and listed names that neither the chain nor the skip edges' weight was fitted on."""
+    recall, precision = score(tagger, pii_training.Maker(4242, held=True).documents(2000))
+    assert recall > 0.88 and precision > 0.93
+
+
+def test_held_out_parts_share_nothing():
+    a, b = pii_training.Maker(1), pii_training.Maker(1, held=True)
+    for x, y in ((a.given, b.given), (a.family, b.family), (a.positive, b.positive), (a.negative, b.negative)):
+        assert not set(x) & set(y)
+
+
+def test_skip_edges_help_on_held_out_documents(tagger):
+    """The fitted weight makes fewer errors than none on documents whose persons return, and changes what is found."""
+    docs = pii_training.Maker(77, held=True).documents(2500)
+    assert tagger.skip > 0 and pii.errors(tagger.model, docs, tagger.skip) < pii.errors(tagger.model, docs, 0.0)
 
 
 def test_chain_sums_against_enumeration():
@@ -61,24 +85,15 @@ def test_chain_sums_against_enumeration():
     assert pii.chain_best(node, mask, trans)[0].tolist() == best[1]
 
 
-def test_skip_edges_carry_a_name_to_a_bare_mention(tagger):
-    """The second mention has no cue; without skip edges its name score is lower."""
-    toks = [pii.tokens("Reported by Torvane Quelldrip through the private form.\nTorvane Quelldrip")]
-    groups = pii.skip_groups([pii.token_key(t[0], t[3]) for t in toks[0]], [t[3] for t in toks[0]], np.zeros(len(toks[0]), int))
-    assert sorted(np.bincount(groups[groups >= 0])) == [2, 2]
-    names = [pii.LABELS[x] for x in tagger.label(toks)[0]]
-    assert names.count("BN") == 2
-
-
 def test_redaction_and_frames(spark, tagger):
-    text = "Call Corwin Birkingham at +1 (202) 555-0155."
-    assert pii.redact(text, pii.find(tagger, [text])[0]) in ("Call [PERSON_NAME] at [PHONE].", "Call Corwin Birkingham at [PHONE].")
-    long = "The nightly scan reports 56 hits for CRY-184.\n" * 3000 + "# maintainer: Ottoline Draxacre <o.drax@tamarix.test>"
-    rows = [(1, "Signed-off-by: Délcio Stenório <a.b@velmond.test>"), (2, None), (3, ""), (4, " \n "), (5, long), (6, "\x00퟿ ＡＢＣ ǅ")]
+    text = "Call Rebecca Thompson at +1 (202) 555-0155."
+    assert pii.redact(text, pii.find(tagger, [text])[0]) == "Call [PERSON_NAME] at [PHONE]."
+    long = "The nightly run of the parser took 56 minutes.\n" * 3000 + "# maintainer: Helen Okafor <h.okafor@tamarix.test>"
+    rows = [(1, "Signed-off-by: Daniel Moreira <a.b@velmond.test>"), (2, None), (3, ""), (4, " \n "), (5, long), (6, "\x00퟿ ＡＢＣ ǅ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start_pos")
     got = {(r["doc_id"], r["pii_type"], r["start_pos"]) for r in pii.personal_data(df).collect()}
-    at = len(long) - len("Ottoline Draxacre <o.drax@tamarix.test>") + 1
-    assert got == {(1, "person_name", 16), (1, "email", 33), (5, "person_name", at), (5, "email", at + 19)}
+    at = len(long) - len("Helen Okafor <h.okafor@tamarix.test>") + 1
+    assert got == {(1, "person_name", 16), (1, "email", 32), (5, "person_name", at), (5, "email", at + 14)}
     assert pii.personal_data(df.limit(0)).count() == 0
     clean = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
     assert clean[1] == "Signed-off-by: [PERSON_NAME] <[EMAIL]>" and clean[2] is None and clean[3] == ""
@@ -89,8 +104,8 @@ def test_model_is_reproducible():
     assert a.index == b.index and np.array_equal(a.weights, b.weights)
 
 
-def test_skip_groups_take_any_case_and_short_names():
-    words = ["Ana", "Vélden", "wrote", "to", "velden", "ana", "and", "A", "a", "wrote"]
-    groups = pii.skip_groups(words, ["word"] * len(words), np.zeros(len(words), int)).tolist()
-    assert groups[0] == groups[5] >= 0 and groups[1] == groups[4] >= 0 and groups[0] != groups[1]
-    assert [groups[n] for n in (2, 3, 6, 7, 8, 9)] == [-1] * 6
+def test_skip_links_take_any_case_and_short_names():
+    words = ["Ana", "Vélden", "wrote", "to", "velden", "ana", "and", "A", "a", "wrote", "ANA", "Ana"]
+    types = pii.Types(None)
+    here, there = types.skip_links(types.ids(words), np.r_[np.zeros(11, int), 1])
+    assert sorted(zip(here.tolist(), there.tolist(), strict=True)) == [(0, 5), (1, 4), (5, 10)]
