@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scanloom.plans import findings, general, packages, texts
+from scanloom.plans import findings, general, packages, roundtrip, texts
 
-_MODULES = (general, findings, texts, packages)
+_MODULES = (general, findings, texts, packages, roundtrip)
 
 
 def queries() -> dict:
