@@ -38,11 +38,21 @@ def normalise(findings: DataFrame) -> DataFrame:
 KEY = ("scan_id", "rule_id", "file_path", "line_number")
 
 
-def current_findings(findings: DataFrame) -> DataFrame:
-    """One row per key and scan: the one delivered last (ties: highest row_id).  All columns are kept."""
+def current_findings(findings: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per key and scan: the one delivered last (ties: highest row_id).
+
+    ``columns``: what is wanted beside the key; all columns if None.  Others are not read.
+    """
+    if columns is not None:
+        need = {*KEY, "delivered_at", "row_id", "severity" if {"severity", "severity_rank"} & set(columns) else "row_id", *columns}
+        findings = findings.select(*[c for c in findings.columns if c in need])
+        for c in ("severity", "confidence"):
+            if c not in findings.columns:
+                findings = findings.withColumn(c, F.lit(None).cast("string"))
     rows = normalise(findings)
-    packed = rows.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in KEY]), F.struct("delivered_at", "row_id")).alias("r"))
-    return packed.select(*KEY, "r.*").select(rows.columns)
+    keep = [c for c in rows.columns if c not in KEY and (columns is None or c in columns)]
+    packed = rows.groupBy(*KEY).agg(F.max_by(F.struct(*keep, F.lit(1).alias("_one")), F.struct("delivered_at", "row_id")).alias("r"))
+    return packed.select(*KEY, *[F.col("r")[c].alias(c) for c in keep]).select(*[c for c in rows.columns if c in (*KEY, *keep)])
 
 
 def count_severities() -> list[Column]:
@@ -116,13 +126,20 @@ def risk_rank(findings: DataFrame, reachable: Column | None = None, exploitabili
     return findings.withColumn("score", score).withColumn("priority", F.when(score >= 75, "P0").when(score >= 50, "P1").when(score >= 25, "P2").otherwise("P3"))
 
 
-def feature_vector() -> Column:
-    """Numeric features of a finding for a false-positive model."""
+# The features and what stands for one that a finding lacks.
+FEATURES = {"confidence": 0.5, "severity": 0.3, "reachable": 0.0, "test_file": 0.0, "in_comment": 0.0, "sanitized": 0.0, "exploitability": 0.5, "epss": 0.0, "business_criticality": 0.5}
+
+
+def feature_vector(columns: list[str] = ("confidence", "severity", "file_path", "in_comment")) -> Column:
+    """Numeric features of a finding for a false-positive model, in the order of ``FEATURES``; ``columns``: those the findings have."""
     test = F.lower("file_path").rlike("(^|/)tests?/|_test\\.|\\.test\\.|\\.spec\\.")
-    return F.array(
-        weigh(F.col("confidence"), FEATURE_CONFIDENCE, 0.5), weigh(F.col("severity"), FEATURE_SEVERITY, 0.3),
-        test.cast("double"), F.coalesce("in_comment", F.lit(False)).cast("double"),
-    )
+    own = {
+        "confidence": weigh(F.col("confidence"), FEATURE_CONFIDENCE, 0.5), "severity": weigh(F.col("severity"), FEATURE_SEVERITY, 0.3), "test_file": test.cast("double"),
+        **{c: F.coalesce(F.col(c), F.lit(False)).cast("double") for c in ("reachable", "in_comment", "sanitized")},
+        **{c: F.coalesce(F.col(c).cast("double"), F.lit(FEATURES[c])) for c in ("exploitability", "epss", "business_criticality")},
+    }
+    has = {*columns, *(["test_file"] if "file_path" in columns else [])}
+    return F.array(*[own[f] if f in has else F.lit(v) for f, v in FEATURES.items()])
 
 
 # Frameworks, controls and the weaknesses they cover.

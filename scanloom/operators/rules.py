@@ -122,7 +122,7 @@ COMMENTS = {
 
 
 def detect_language(path: Column, content: Column | None = None) -> Column:
-    """Binary, then special names, then the extension, then signatures in the text's first 4,000 characters; else Unknown."""
+    """Binary, then special names, then the extension, then signatures anywhere in the text; else Unknown."""
     ext, name = F.regexp_replace(extension(path), r"^\.", ""), F.lower(basename(path))
     out = F.when(ext.isin(BINARY_EXTENSIONS), "Unknown")
     for n, lang in SPECIAL_NAMES.items():
@@ -130,9 +130,8 @@ def detect_language(path: Column, content: Column | None = None) -> Column:
     for lang, exts in LANGUAGES.items():
         out = out.when(ext.isin(exts.split()), lang)
     if content is not None:
-        head = F.left(content, F.lit(4000))
         for pattern, lang in SIGNATURES:
-            out = out.when(head.rlike(pattern), lang)
+            out = out.when(content.rlike(pattern), lang)
     return out.otherwise("Unknown")
 
 
@@ -178,6 +177,12 @@ def suppressed_inline(line: Column, rule_id: Column) -> Column:
     return named.isin("ALL", "*") | (named == F.upper(rule_id))
 
 
+def suppress_globally(found: DataFrame, suppress: DataFrame) -> DataFrame:
+    """Findings that no row of ``suppress`` (rule_id, file_name; null: everywhere) names."""
+    found = found.join(suppress.where("file_name is null").select("rule_id"), "rule_id", "left_anti")
+    return found.withColumn("file_name", basename(F.col("file_path"))).join(suppress.where("file_name is not null"), ["rule_id", "file_name"], "left_anti").drop("file_name")
+
+
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = [(n, *[asdict(r)[c] for c in ("id", "name", "severity", "category", "language", "cwe", "confidence", "depends_on", "remediation")]) for n, r in enumerate(rules)]
     return spark.createDataFrame(rows, "ord int, rule_id string, name string, severity string, category string, rule_language string, cwe string, confidence string, depends_on string, remediation string")
@@ -256,8 +261,7 @@ def scan(files: DataFrame, rules: tuple[Rule, ...] = RULES, suppress: DataFrame
     found = hits.unionByName(multi).join(F.broadcast(rule_table(spark, rules)), "ord")
     found = found.where(~suppressed_inline(F.col("line"), F.col("rule_id")))
     if suppress is not None:
-        found = found.join(suppress.where("file_name is null").select("rule_id"), "rule_id", "left_anti")
-        found = found.withColumn("file_name", basename(F.col("file_path"))).join(suppress.where("file_name is not null"), ["rule_id", "file_name"], "left_anti").drop("file_name")
+        found = suppress_globally(found, suppress)
     found = found.dropDuplicates(["rule_id", "file_path", "line_number"])
     if any(r.depends_on for r in rules):
         found = resolve_dependencies(found)

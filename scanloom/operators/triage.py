@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scanloom.operators.reports import feature_vector
+from scanloom.operators.reports import FEATURES, feature_vector
 
 #: Reviewed findings that a model is fitted on at most; beyond it a sample by hash.
 SAMPLE_ROWS = 50_000
@@ -17,7 +17,7 @@ class FalsePositiveModel:
     """Logistic regression on the features of a finding, fitted on a bounded sample of reviewed rows."""
 
     def __init__(self) -> None:
-        self.weights, self.bias = np.zeros(4), 0.0
+        self.weights, self.bias = np.zeros(len(FEATURES)), 0.0
 
     def fit(self, reviewed: DataFrame, label: str = "is_real", rounds: int = 500, rate: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> FalsePositiveModel:
         """``reviewed``: findings with a boolean label.  At most ``sample_rows`` rows, those with the least hash of row_id, reach the driver."""
@@ -52,7 +52,27 @@ def synthesise_rule(positive: list[str], negative: list[str]) -> str:
     useful = sorted(common - set().union(*map(words, negative)), key=lambda w: (-len(w), w))
     if not useful:
         raise ValueError("the examples share no telling word")
-    return r"\b(?:" + "|".join(re.escape(w) for w in useful[:8]) + r")\b"
+    return r"\b(?:" + "|".join(re.escape(w) for w in useful) + r")\b"
+
+
+# What a weakness lets happen.
+EXPLANATIONS = {
+    "CWE-78": "Input can change the command that the operating system runs.",
+    "CWE-79": "Unescaped content can run script in another person's browser.",
+    "CWE-89": "Untrusted data can change a query's structure and reach or alter data.",
+    "CWE-798": "A credential in the code can be read by anyone who has the artefact.",
+}
+
+
+def explanation(cwe: Column, rule_id: Column, description: Column, remediation: Column, education: bool = False) -> Column:
+    """Why a finding matters: by its weakness, else its description; with ``education`` also what to do."""
+    out = None
+    for k, text in EXPLANATIONS.items():
+        out = F.when(cwe == k, text) if out is None else out.when(cwe == k, text)
+    out = out.otherwise(F.coalesce(description, F.lit("Security risk detected.")))
+    if education:
+        out = F.concat(out, F.lit(" Rule "), F.coalesce(rule_id, F.lit("unknown")), F.lit("; check the way from source to sink and apply: "), F.coalesce(remediation, F.lit("an equivalent control")), F.lit("."))
+    return out
 
 
 def search_catalogue(rules: DataFrame, query: str) -> DataFrame:

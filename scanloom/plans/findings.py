@@ -21,8 +21,9 @@ CURRENT = f"""WITH cf AS (SELECT * EXCLUDE (k) FROM (
 _COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in reversed(SEVERITIES))
 
 
-def _current(spark: SparkSession, d: str) -> DataFrame:
-    return reports.current_findings(table(spark, d, "findings"))
+def _current(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Current findings with their key and the given columns alone."""
+    return reports.current_findings(table(spark, d, "findings"), list(columns))
 
 
 def _source_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -59,15 +60,15 @@ def _rule_sql() -> str:
 
 
 def report_by_scan(spark: SparkSession, d: str) -> DataFrame:
-    return reports.scan_report(_current(spark, d), ["scan_id"])
+    return reports.scan_report(_current(spark, d, "severity"), ["scan_id"])
 
 
 def dedup_findings(spark: SparkSession, d: str) -> DataFrame:
-    return _current(spark, d).select("row_id", "scan_id", "rule_id", "file_path", "line_number", "severity")
+    return _current(spark, d, "row_id", "severity").select("row_id", "scan_id", "rule_id", "file_path", "line_number", "severity")
 
 
 def min_severity(spark: SparkSession, d: str) -> DataFrame:
-    return _current(spark, d).where("severity_rank >= 4").select("row_id", "severity", "rule_id")
+    return _current(spark, d, "row_id", "severity", "severity_rank").where("severity_rank >= 4").select("row_id", "severity", "rule_id")
 
 
 _OVERRIDES = {"KEY-100": "CRITICAL", "ERR-144": "INFO", "XSS-137": "LOW"}
@@ -75,40 +76,41 @@ _OVERRIDES = {"KEY-100": "CRITICAL", "ERR-144": "INFO", "XSS-137": "LOW"}
 
 def severity_override(spark: SparkSession, d: str) -> DataFrame:
     over = reports.weigh(F.col("rule_id"), _OVERRIDES, "")
-    f = _current(spark, d).withColumn("severity", F.when(over == "", F.col("severity")).otherwise(over))
+    f = _current(spark, d, "severity").withColumn("severity", F.when(over == "", F.col("severity")).otherwise(over))
     return f.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
 def global_suppress(spark: SparkSession, d: str) -> DataFrame:
-    """Findings left after suppressing one rule everywhere and, per file name, rules of the secrets category."""
-    off = spark.createDataFrame([("ERR-144",), ("XSS-137",)], "rule_id string")
-    return _current(spark, d).join(off, "rule_id", "left_anti").groupBy("rule_id").agg(F.count("*").alias("n"))
+    """Findings left after suppressing two rules everywhere and one in the files of a name."""
+    off = spark.createDataFrame([("ERR-144", None), ("XSS-137", None), ("KEY-100", "main.py"), ("KEY-100", "index.js")], "rule_id string, file_name string")
+    left = rules.suppress_globally(_current(spark, d), off)
+    return left.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 def flat_sort(spark: SparkSession, d: str) -> DataFrame:
     """The 100 worst findings (a top-k report)."""
-    return _current(spark, d).orderBy(F.desc("severity_rank"), "file_path", "line_number", "rule_id", "scan_id").select("scan_id", "rule_id", "file_path", "line_number", "severity").limit(100)
+    return _current(spark, d, "severity", "severity_rank").orderBy(F.desc("severity_rank"), "file_path", "line_number", "rule_id", "scan_id").select("scan_id", "rule_id", "file_path", "line_number", "severity").limit(100)
 
 
 def top_categories(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_k(_current(spark, d), "category", 8)
+    return reports.top_k(_current(spark, d, "category"), "category", 8)
 
 
 def top_rules_per_language(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_k_per(_current(spark, d).where("language is not null"), "language", "rule_id", 3)
+    return reports.top_k_per(_current(spark, d, "language").where("language is not null"), "language", "rule_id", 3)
 
 
 def severity_pivot_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    return reports.heatmap(_current(spark, d))
+    return reports.heatmap(_current(spark, d, "severity"))
 
 
 def risk_grade(spark: SparkSession, d: str) -> DataFrame:
     scans = table(spark, d, "scans").groupBy(F.col("id").alias("scan_id")).agg(F.max("files_scanned").alias("files_scanned"))
-    return reports.risk_grade(_current(spark, d), scans, "scan_id")
+    return reports.risk_grade(_current(spark, d, "severity", "confidence"), scans, "scan_id")
 
 
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return reports.quality_gate(_current(spark, d), "scan_id", max_critical=2, max_high=10, max_total=200)
+    return reports.quality_gate(_current(spark, d, "severity"), "scan_id", max_critical=2, max_high=10, max_total=200)
 
 
 def longitudinal_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +124,7 @@ def trend_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compliance_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.compliance_report(_current(spark, d), reports.controls(spark))
+    return reports.compliance_report(_current(spark, d, "cwe"), reports.controls(spark))
 
 
 def compliance_score(spark: SparkSession, d: str) -> DataFrame:
@@ -130,16 +132,16 @@ def compliance_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def compliance_map(spark: SparkSession, d: str) -> DataFrame:
-    return _current(spark, d).join(F.broadcast(reports.controls(spark)), "cwe").select("row_id", "framework", "control")
+    return _current(spark, d, "row_id", "cwe").join(F.broadcast(reports.controls(spark)), "cwe").select("row_id", "framework", "control")
 
 
 def risk_rank(spark: SparkSession, d: str) -> DataFrame:
-    return reports.risk_rank(_current(spark, d), digits=6).groupBy("priority", "score").agg(F.count("*").alias("n"))
+    return reports.risk_rank(_current(spark, d, "severity", "confidence"), digits=6).groupBy("priority", "score").agg(F.count("*").alias("n"))
 
 
 def finding_features(spark: SparkSession, d: str) -> DataFrame:
-    f = _current(spark, d).select("row_id", reports.feature_vector().alias("f"))
-    return f.select("row_id", *[F.col("f")[n].alias(f"f{n}") for n in range(4)])
+    f = _current(spark, d, "row_id", "severity", "confidence", "in_comment").select("row_id", reports.feature_vector().alias("f"))
+    return f.select("row_id", *[F.col("f")[n].alias(f"f{n}") for n in range(len(reports.FEATURES))])
 
 
 def _edges_of_history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +149,7 @@ def _edges_of_history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
     s = table(spark, d, "scans").where("target is not null").dropDuplicates(["id"])
     at = F.struct("scan_timestamp", "id")
     ends = s.groupBy("target").agg(F.max_by("id", at).alias("last"), F.min_by("id", at).alias("first"))
-    f = _current(spark, d)
+    f = _current(spark, d, "severity_rank")
     return f.join(ends.select(F.col("last").alias("scan_id")), "scan_id", "left_semi"), f.join(ends.where("first <> last").select(F.col("first").alias("scan_id")), "scan_id", "left_semi")
 
 
@@ -219,7 +221,7 @@ SQL = {
     "dedup_findings": CURRENT + "SELECT row_id, scan_id, rule_id, file_path, line_number, severity FROM cf",
     "min_severity": CURRENT + "SELECT row_id, severity, rule_id FROM cf WHERE severity_rank >= 4",
     "severity_override": CURRENT + f"SELECT rule_id, {_WEIGHT('rule_id', {k: _quote(v) for k, v in _OVERRIDES.items()}, 'severity')} AS severity, count(*) AS n FROM cf GROUP BY 1, 2",
-    "global_suppress": CURRENT + "SELECT rule_id, count(*) AS n FROM cf WHERE rule_id NOT IN ('ERR-144', 'XSS-137') GROUP BY 1",
+    "global_suppress": CURRENT + "SELECT rule_id, count(*) AS n FROM cf WHERE rule_id NOT IN ('ERR-144', 'XSS-137') AND NOT (rule_id = 'KEY-100' AND string_split(file_path, '/')[-1] IN ('main.py', 'index.js')) GROUP BY 1",
     "flat_sort": CURRENT + "SELECT scan_id, rule_id, file_path, line_number, severity FROM cf ORDER BY severity_rank DESC NULLS LAST, file_path, line_number, rule_id, scan_id LIMIT 100",
     "top_categories": CURRENT + "SELECT category, count(*) AS n FROM cf WHERE category IS NOT NULL GROUP BY 1 ORDER BY n DESC, category LIMIT 8",
     "top_rules_per_language": CURRENT + "SELECT * FROM (SELECT language, rule_id, count(*) AS n, (row_number() OVER (PARTITION BY language ORDER BY count(*) DESC, rule_id))::INT AS rank FROM cf WHERE language IS NOT NULL GROUP BY 1, 2) WHERE rank <= 3",
@@ -239,7 +241,8 @@ SELECT target, count(*) AS n_scans, max(total_vulns) FILTER (a = 1) AS first_tot
     "risk_rank": CURRENT + f"""SELECT CASE WHEN score >= 75 THEN 'P0' WHEN score >= 50 THEN 'P1' WHEN score >= 25 THEN 'P2' ELSE 'P3' END AS priority, score, count(*) AS n FROM (
 SELECT round(least(({_WEIGHT('severity', reports.RANK_SEVERITY, 30)})::DOUBLE * ({_WEIGHT('confidence', reports.RANK_CONFIDENCE, 0.65)})::DOUBLE * 1.0::DOUBLE * 0.7::DOUBLE * 0.5::DOUBLE * 0.75::DOUBLE, 100.0), 6) AS score FROM cf) GROUP BY 1, 2""",
     "finding_features": CURRENT + f"""SELECT row_id, ({_WEIGHT('confidence', reports.FEATURE_CONFIDENCE, 0.5)})::DOUBLE AS f0, ({_WEIGHT('severity', reports.FEATURE_SEVERITY, 0.3)})::DOUBLE AS f1,
-CASE WHEN regexp_matches(lower(file_path), '(^|/)tests?/|_test\\.|\\.test\\.|\\.spec\\.') THEN 1.0 ELSE 0.0 END::DOUBLE AS f2, CASE WHEN coalesce(in_comment, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS f3 FROM cf""",
+CASE WHEN regexp_matches(lower(file_path), '(^|/)tests?/|_test\\.|\\.test\\.|\\.spec\\.') THEN 1.0 ELSE 0.0 END::DOUBLE AS f3, CASE WHEN coalesce(in_comment, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS f4,
+0.0::DOUBLE AS f2, 0.0::DOUBLE AS f5, 0.5::DOUBLE AS f6, 0.0::DOUBLE AS f7, 0.5::DOUBLE AS f8 FROM cf""",
     "baseline_status": _ENDS + "SELECT rule_id, file_path, line_number, status FROM st",
     "drift": f"""WITH v AS (SELECT {_P} AS id, regexp_replace(lower(content_hash), '^sha256:', '') AS h, size_bytes AS z, coalesce(is_deleted, false) AS gone,
   row_number() OVER (PARTITION BY {_P} ORDER BY modified_at, delivered_at, batch_no) AS a, row_number() OVER (PARTITION BY {_P} ORDER BY modified_at DESC, delivered_at DESC, batch_no DESC) AS b FROM source_files WHERE file_path IS NOT NULL),
