@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from scanloom.functions.text import BLANK, bind
@@ -56,28 +59,72 @@ def file_lengths(lines: DataFrame, limit: int = 0) -> DataFrame:
 BRANCHES = (r"\b(?:if|elif)\b", r"\bfor\b", r"\bwhile\b", r"\b(?:case|when)\b", r"\b(?:catch|except)\b", r"&&|\band\b", r"\|\||\bor\b", r"\?[^.:]*:")
 
 
-def functions_of(lines: DataFrame) -> DataFrame:
-    """file_path, function, start_line, end_line, n_lines, complexity, params.
+INDENTED = ("Python", "Ruby")
+CLASS = r"^\s*(?:(?:public|private|protected|static|abstract|final|export|default)\s+)*class\s+([A-Za-z_]\w*)"
+
+
+def blocks_of(lines: DataFrame, pattern: str = DEFINITION) -> DataFrame:
+    """file_path, name, start_line, line_number, line: the lines of every block that a line matching ``pattern`` opens.
 
-    A function reaches to the line before the next definition with no deeper indent, or to the file's end; the end
-    is found from the lines after it by one window per file, not by comparing lines in pairs.
+    In Python and Ruby a block ends before the next line that isn't blank and is indented no deeper; elsewhere where its
+    first brace is closed, or with its own line where it opens none.  Blocks inside others count with both.  ``lines``:
+    file_path, line_number, line and, if known, language (else Python by its suffix).  A file's lines are folded in order.
     """
-    name = F.regexp_extract("line", DEFINITION, 1)
-    indent = F.length("line") - F.length(F.ltrim("line"))
+    language = F.col("language") if "language" in lines.columns else F.when(F.lower("file_path").rlike(r"\.(?:pyw?|rb)$"), "Python").otherwise("other")
+    ordered = lines.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("ls"), F.max(language.isin(*INDENTED)).alias("by_indent"))
+
+    def run(batches):
+        head = re.compile(pattern)
+        for b in batches:
+            out = []
+            for path, ls, by_indent in zip(b.column("file_path").to_pylist(), b.column("ls").to_pylist(), b.column("by_indent").to_pylist(), strict=True):
+                for k, x in enumerate(ls):
+                    m = head.match(x["line"] or "")
+                    if m:
+                        end = (_indent_end if by_indent else _brace_end)(ls, k)
+                        out += [(path, m[1], x["line_number"], y["line_number"], y["line"]) for y in ls[k:end]]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (b.schema.field("file_path").type, pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["file_path", "name", "start_line", "line_number", "line"])
+
+    kind = lines.schema["file_path"].dataType.simpleString()
+    return ordered.mapInArrow(run, f"file_path {kind}, name string, start_line int, line_number int, line string")
+
+
+def _indent_end(ls: list[dict], at: int) -> int:
+    depth = lambda t: len(t) - len(t.lstrip())
+    own = depth(ls[at]["line"])
+    return next((k for k in range(at + 1, len(ls)) if (ls[k]["line"] or "").strip() and depth(ls[k]["line"]) <= own), len(ls))
+
+
+def _brace_end(ls: list[dict], at: int) -> int:
+    depth, opened = 0, False
+    for k in range(at, len(ls)):
+        for c in ls[k]["line"] or "":
+            depth += (c == "{") - (c == "}")
+            opened |= c == "{"
+        if opened and depth <= 0 or not opened and k > at + 1:
+            return k + 1 if opened else at + 1
+    return len(ls) if opened else at + 1
+
+
+def functions_of(lines: DataFrame) -> DataFrame:
+    """file_path, function, start_line, end_line, n_lines, complexity, params of every definition, by the ends that ``blocks_of`` finds."""
     branch = sum((F.col("line").rlike(p).cast("int") for p in BRANCHES), F.lit(0))
-    marked = lines.withColumns({"_name": F.when(name != "", name), "_indent": indent, "_branch": branch, "_code": (~F.col("line").rlike(BLANK)).cast("int")})
-    marked = marked.withColumn("_f", F.count("_name").over(_file().rowsBetween(W.unboundedPreceding, 0))).where("_f > 0")
+    marked = blocks_of(lines).withColumns({"_branch": branch, "_code": (~F.col("line").rlike(BLANK)).cast("int")})
     return (
-        marked.groupBy("file_path", "_f")
-        .agg(
-            F.min_by("_name", "line_number").alias("function"), F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.sum("_code").alias("n_lines"),
-            (F.sum("_branch") + 1).alias("complexity"), F.min_by("line", "line_number").alias("_head"),
-        )
+        marked.groupBy("file_path", F.col("name").alias("function"), "start_line")
+        .agg(F.max("line_number").alias("end_line"), F.sum("_code").alias("n_lines"), (F.sum("_branch") + 1).alias("complexity"), F.min_by("line", "line_number").alias("_head"))
         .withColumn("params", F.size(F.filter(F.transform(F.split(F.regexp_extract("_head", r"\(([^)]*)\)", 1), ","), lambda p: F.trim(p)), lambda p: ~p.isin("", "self", "cls", "this"))))
-        .drop("_f", "_head")
+        .drop("_head")
     )
 
 
+def god_classes(lines: DataFrame, max_methods: int = 20) -> DataFrame:
+    """file_path, class, start_line, methods of classes with more than ``max_methods`` definitions in their block."""
+    inside = blocks_of(lines, CLASS).where("line_number > start_line").where(F.col("line").rlike(DEFINITION))
+    return inside.groupBy("file_path", F.col("name").alias("class"), "start_line").agg(F.count("*").alias("methods")).where(F.col("methods") > max_methods)
+
+
 def complexity_findings(functions: DataFrame, max_lines: int = 50, max_complexity: int = 10, max_params: int = 5) -> DataFrame:
     rules = F.array_compact(
         F.array(
@@ -188,3 +235,17 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     old_before = F.coalesce(F.sum((kind != "+").cast("int")).over(inside), F.lit(0))
     rows = rows.withColumns({"side": F.when(kind == "+", "added").when(kind == "-", "removed"), "line": F.when(kind == "+", F.col("new_at") + new_before).otherwise(F.col("old_at") + old_before)})
     return rows.where("side is not null").select("diff_id", "file", "line", "side")
+
+
+def filter_to_diff(findings: DataFrame, diffs: DataFrame) -> DataFrame:
+    """Findings on lines that a diff adds, and all findings of files that it doesn't touch.
+
+    A file is one of the diff's if it has the same name; ``diffs``: rows of ``diff_lines``.
+    """
+    from scanloom.functions.paths import basename
+
+    named = diffs.select(basename(F.col("file")).alias("_name"), "line", "side")
+    touched = named.select("_name").distinct().withColumn("_touched", F.lit(True))
+    added = named.where("side = 'added'").select("_name", F.col("line").alias("line_number")).distinct().withColumn("_added", F.lit(True))
+    rows = findings.withColumn("_name", basename(F.col("file_path"))).join(touched, "_name", "left").join(added, ["_name", "line_number"], "left")
+    return rows.where("_touched is null or _added").select(findings.columns)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -60,12 +63,69 @@ def dockerfile_checks(files: DataFrame) -> DataFrame:
     return hits.unionByName(root).select("file_path", "line_number", "issue")
 
 
+def compose_services(files: DataFrame) -> DataFrame:
+    """file_path, service, settings (map) of Compose files (file_path, content), JSON or YAML of plain keys.
+
+    In YAML a service is a key two blanks deep below ``services:``, its settings are the plain keys below it.
+    """
+
+    def of(text: str) -> Iterator[tuple[str, dict]]:
+        try:
+            doc = json.loads(text)
+            for name, svc in ((doc or {}).get("services") or {}).items():
+                yield name, {k: v if isinstance(v, str) else json.dumps(v) for k, v in (svc or {}).items()}
+            return
+        except (ValueError, AttributeError):
+            pass
+        inside, name, settings = False, None, {}
+        for line in text.splitlines():
+            m = re.match(r"( *)([\w.-]+):\s*(.*?)\s*(?:#.*)?$", line)
+            if not m:
+                continue
+            depth = len(m[1])
+            if depth == 0:
+                inside = m[2] == "services"
+            elif inside and depth == 2 and not m[3]:
+                if name:
+                    yield name, settings
+                name, settings = m[2], {}
+            elif inside and name and depth == 4 and m[3]:
+                settings[m[2]] = m[3].strip("\"'")
+        if name:
+            yield name, settings
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *x) for p, t in zip(b["file_path"], b["content"], strict=True) if isinstance(t, str) for x in of(t)], columns=["file_path", "service", "settings"])
+
+    return files.select("file_path", "content").mapInPandas(run, "file_path string, service string, settings map<string,string>")
+
+
+def compose_checks(services: DataFrame) -> DataFrame:
+    """file_path, service, issue: privileged containers, the host's network, a root file system that can be written."""
+    s = lambda k: F.lower(F.coalesce(F.try_element_at(F.col("settings"), F.lit(k)), F.lit("")))
+    issues = [("privileged", s("privileged") == "true"), ("host_network", s("network_mode") == "host"), ("writable_root", s("read_only") != "true")]
+    return services.select("file_path", "service", F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in issues]))).alias("issue"))
+
+
+def bfla_gaps(operations: DataFrame, roles: DataFrame) -> DataFrame:
+    """spec_id, operation, issue: operations that no role may call, and changing ones that anonymous may.
+
+    ``operations``: spec_id, path, method, operation; ``roles``: role, operation.
+    """
+    anyone = roles.groupBy("operation").agg(F.bool_or(F.col("role") == "anonymous").alias("anonymous"))
+    rows = operations.where(F.col("method").isin("get", "post", "put", "patch", "delete")).join(anyone, "operation", "left")
+    issue = F.when(F.col("anonymous").isNull(), "no_role").when(F.col("anonymous") & F.col("method").isin("delete", "put", "patch"), "anonymous_change")
+    return rows.select("spec_id", "operation", issue.alias("issue")).where("issue is not null")
+
+
 def openapi_operations(specs: DataFrame) -> DataFrame:
     """spec_id, path, method, secured: operations of OpenAPI documents (spec_id, spec JSON)."""
     paths = F.from_json(F.get_json_object("spec", "$.paths"), "map<string,map<string,string>>")
     rows = specs.select("spec_id", F.get_json_object("spec", "$.security").alias("s"), F.explode(paths).alias("path", "ms")).select("spec_id", "s", "path", F.explode("ms").alias("method", "op"))
     secured = F.coalesce(F.get_json_object("op", "$.security"), F.col("s"))
-    return rows.select("spec_id", "path", F.lower("method").alias("method"), (secured.isNotNull() & (secured != "[]")).alias("secured")).where(F.col("method").isin("get", "put", "post", "delete", "patch", "head", "options"))
+    name = F.coalesce(F.get_json_object("op", "$.operationId"), F.concat(F.lower("method"), F.lit(":"), F.col("path")))
+    return rows.select("spec_id", "path", F.lower("method").alias("method"), (secured.isNotNull() & (secured != "[]")).alias("secured"), name.alias("operation")).where(F.col("method").isin("get", "put", "post", "delete", "patch", "head", "options"))
 
 
 def contract_cases(operations: DataFrame) -> DataFrame:

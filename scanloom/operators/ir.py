@@ -7,7 +7,11 @@ for one function's graph inside a task.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 
 Graph = dict[int, list[int]]
 
@@ -154,6 +158,41 @@ def lifetimes(instructions: list[tuple[str, str]]) -> list[tuple[int, str, str]]
     return out + [(len(instructions), "leak", name) for name, s in state.items() if s == "live"]
 
 
+def renamed(instructions: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """(target, arguments) of straight-line code in single-assignment form: each store gets a new number, reads the last one."""
+    last: dict[str, int] = {}
+    out = []
+    for target, args in instructions:
+        args = [re.sub(r"[A-Za-z_]\w*", lambda m: f"{m[0]}_{last[m[0]]}" if m[0] in last else m[0], a) for a in args]
+        if target:
+            last[target] = last.get(target, 0) + 1
+            target = f"{target}_{last[target]}"
+        out.append((target, args))
+    return out
+
+
+def flow_facts(files: DataFrame) -> DataFrame:
+    """file_path, node, fact, value of the first function of Python files: immediate dominators, frontiers, phi places, definitions
+    that reach a node and variables live before it.  Nodes are statements from 1, 0 the entry, -1 the exit; files that don't parse give none."""
+
+    def of(path: str, text: str) -> list[tuple]:
+        try:
+            graph, stores, reads = flow_of(text)
+        except (SyntaxError, ValueError, TypeError, RecursionError):
+            return []
+        rows = [(path, n, "dominator", str(d)) for n, d in dominators(graph, 0).items()]
+        rows += [(path, n, "frontier", str(m)) for n, ms in frontier(graph, 0).items() for m in ms]
+        rows += [(path, n, "phi", v) for n, vs in phi_places(graph, 0, stores).items() for v in vs]
+        rows += [(path, n, "reaches", f"{v}@{m}") for n, (into, _) in reaching(graph, stores).items() for v, m in into]
+        return rows + [(path, n, "live", v) for n, (_, out) in live(graph, reads, stores).items() for v in out]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for p, t in zip(b["file_path"], b["content"], strict=True) for r in of(p, t)], columns=["file_path", "node", "fact", "value"])
+
+    return files.select("file_path", "content").mapInPandas(run, "file_path string, node int, fact string, value string")
+
+
 def paths(graph: Graph, entry: int, most: int = 128) -> list[list[int]]:
     """Paths from the entry to ends without repeated nodes; at most ``most``, depth first."""
     out, todo = [], [[entry]]

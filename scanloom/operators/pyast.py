@@ -6,6 +6,7 @@ Each file's rows come out of one task; files that don't parse give none.
 from __future__ import annotations
 
 import ast
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -190,6 +191,53 @@ def python_findings(files: DataFrame) -> DataFrame:
     return files.where(F.lower("file_path").endswith(".py")).select("file_path", "content").mapInPandas(run, SCHEMA)
 
 
+_PLAIN = (ast.If, ast.For, ast.While, ast.Return, ast.Import, ast.ImportFrom, ast.With, ast.Lambda)
+
+
+def halstead(fn: ast.AST) -> dict[str, float]:
+    """Vocabulary, length, volume, difficulty and effort from the operators and operands of a function's tree."""
+    operators: list[str] = []
+    operands: list[str] = []
+    for n in ast.walk(fn):
+        if isinstance(n, ast.BinOp | ast.UnaryOp | ast.BoolOp):
+            operators.append(type(n.op).__name__)
+        elif isinstance(n, ast.Compare):
+            operators += [type(op).__name__ for op in n.ops]
+        elif isinstance(n, ast.Call | ast.Attribute | ast.Subscript):
+            operators.append({"Call": "()", "Attribute": ".", "Subscript": "[]"}[type(n).__name__])
+        elif isinstance(n, ast.Assign | ast.AugAssign | ast.AnnAssign):
+            operators.append("=")
+        elif isinstance(n, _PLAIN):
+            operators.append(type(n).__name__)
+        elif isinstance(n, ast.Name):
+            operands.append(n.id)
+        elif isinstance(n, ast.Constant):
+            operands.append(repr(n.value))
+    kinds, names = len(set(operators)), len(set(operands))
+    length = len(operators) + len(operands)
+    volume = length * math.log2(kinds + names) if kinds + names else 0.0
+    difficulty = kinds / 2 * len(operands) / names if names else 0.0
+    return {"vocabulary": kinds + names, "length": length, "volume": round(volume, 2), "difficulty": round(difficulty, 2), "effort": round(difficulty * volume, 2)}
+
+
+def function_metrics(files: DataFrame) -> DataFrame:
+    """file_path, function, line_number, cyclomatic, cognitive and Halstead's numbers of every Python function."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["file_path"], b["content"], strict=True):
+                try:
+                    tree = ast.parse(text)
+                except (SyntaxError, ValueError, TypeError, RecursionError):
+                    continue
+                rows += [(path, fn.name, fn.lineno, cyclomatic(fn), cognitive(fn), *halstead(fn).values()) for fn in _functions(tree)]
+            yield pd.DataFrame(rows, columns=["file_path", "function", "line_number", "cyclomatic", "cognitive", "vocabulary", "length", "volume", "difficulty", "effort"])
+
+    schema = "file_path string, function string, line_number int, cyclomatic int, cognitive int, vocabulary int, length int, volume double, difficulty double, effort double"
+    return files.where(F.lower("file_path").endswith(".py")).select("file_path", "content").mapInPandas(run, schema)
+
+
 CALLS = "file_path string, caller string, line_number int, callee string, position int, argument_names array<string>, is_source boolean"
 
 
@@ -235,16 +283,31 @@ def calls(files: DataFrame) -> DataFrame:
 SINK_NAMES = ("system", "popen", "execute", "eval", "exec", "run", "call", "check_output")
 
 
-def interprocedural_taint(call_table: DataFrame, rounds: int = 5) -> DataFrame:
+def call_edges(call_table: DataFrame) -> DataFrame:
+    """src (caller), dst (callee) of every call, once; for ``graph.closure`` and ``graph.impact``."""
+    return call_table.where("position = -2").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
+
+
+def call_impact(call_table: DataFrame) -> DataFrame:
+    """function, direct (callers), transitive (callers at any distance) of every function defined."""
+    from scanloom.operators import graph
+
+    defined = call_table.where("position = -1").select(F.col("caller").alias("function")).distinct()
+    closed = graph.closure(call_edges(call_table).withColumn("g", F.lit(0)), ["g"])
+    per = closed.groupBy(F.col("dst").alias("function")).agg(F.countDistinct(F.when(F.col("depth") == 1, F.col("src"))).alias("direct"), F.countDistinct("src").alias("transitive"))
+    return defined.join(per, "function", "left").fillna(0, ["direct", "transitive"])
+
+
+def interprocedural_taint(call_table: DataFrame) -> DataFrame:
     """file_path, function, line_number, sink, param: sinks that a tainted parameter reaches, across files.
 
-    A round passes taint from arguments to the parameters of the called function's name; at most ``rounds`` rounds.
+    A round passes taint from arguments to the parameters of the called function's name, until a round adds nothing.
     """
     table = materialise(call_table, "calls")
     params = table.where("position = -1").select(F.col("caller").alias("callee"), F.posexplode("argument_names").alias("position", "param"))
     args = table.where("position >= 0")
     tainted = materialise(args.where("is_source").join(params, ["callee", "position"]).select(F.col("callee").alias("function"), "param").distinct(), "tainted")
-    for _ in range(rounds):
+    while True:
         step = args.select(F.col("caller").alias("function"), F.explode("argument_names").alias("param"), "callee", "position").join(tainted, ["function", "param"]).select("callee", "position").distinct()
         nxt = materialise(tainted.unionByName(step.join(params, ["callee", "position"]).select(F.col("callee").alias("function"), "param")).distinct(), "tainted")
         if nxt.count() == tainted.count():

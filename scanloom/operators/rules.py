@@ -124,15 +124,19 @@ COMMENTS = {
 def detect_language(path: Column, content: Column | None = None) -> Column:
     """Binary, then special names, then the extension, then signatures anywhere in the text; else Unknown."""
     ext, name = F.regexp_replace(extension(path), r"^\.", ""), F.lower(basename(path))
-    out = F.when(ext.isin(BINARY_EXTENSIONS), "Unknown")
-    for n, lang in SPECIAL_NAMES.items():
-        out = out.when(name == n, lang)
-    for lang, exts in LANGUAGES.items():
-        out = out.when(ext.isin(exts.split()), lang)
-    if content is not None:
-        for pattern, lang in SIGNATURES:
-            out = out.when(content.rlike(pattern), lang)
-    return out.otherwise("Unknown")
+    by_ext = _lookup({e: lang for lang, exts in reversed(LANGUAGES.items()) for e in exts.split()}, ext)
+    out = F.coalesce(F.when(ext.isin(BINARY_EXTENSIONS), "Unknown"), _lookup(SPECIAL_NAMES, name), by_ext)
+    if content is None:
+        return F.coalesce(out, F.lit("Unknown"))
+    told = None
+    for pattern, lang in SIGNATURES:
+        told = F.when(content.rlike(pattern), lang) if told is None else told.when(content.rlike(pattern), lang)
+    return F.coalesce(out, told, F.lit("Unknown"))
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """A constant table's value for a key, null if it has none; one map literal, where a chain of cases would swell the generated code."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def is_scannable(path: Column) -> Column:
@@ -148,10 +152,7 @@ def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def comment_marker(language: Column, which: int) -> Column:
-    out = None
-    for lang, marks in COMMENTS.items():
-        out = F.when(language == lang, F.lit(marks[which])) if out is None else out.when(language == lang, F.lit(marks[which]))
-    return out.otherwise(F.lit(C_STYLE[which]))
+    return F.coalesce(_lookup({lang: marks[which] for lang, marks in COMMENTS.items()}, language), F.lit(C_STYLE[which]))
 
 
 def comment_state(lines: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scanloom.plans import findings, general, packages, roundtrip, texts
+from scanloom.plans import findings, general, packages, roundtrip, samples, texts
 
-_MODULES = (general, findings, texts, packages, roundtrip)
+_MODULES = (general, findings, texts, packages, roundtrip, samples)
 
 
 def queries() -> dict:

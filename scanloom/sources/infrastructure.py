@@ -59,3 +59,40 @@ def iam_principals(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     who = F.regexp_extract_all(F.col("x.AssumeRolePolicyDocument"), F.lit(r"(arn:aws:[^\"\\\s]+)"), F.lit(1))
     edges = rows.where("kind = 'role'").select("tenant", F.explode(who).alias("src"), F.col("x.Arn").alias("dst"), F.lit("AssumeRole").alias("relation"))
     return principals, edges.distinct()
+
+
+def directory_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(principals, edges) of directory snapshots (tenant, provider, doc JSON of principals and relationships)."""
+    people = F.from_json(F.get_json_object("doc", "$.principals"), "array<struct<id:string,kind:string>>")
+    links = F.from_json(F.get_json_object("doc", "$.relationships"), "array<struct<source:string,target:string,relation:string,permissions:array<string>>>")
+    principals = documents.select("tenant", "provider", F.explode(people).alias("p")).select("tenant", F.col("p.id").alias("id"), F.coalesce("p.kind", F.lit("user")).alias("kind"), "provider")
+    edges = documents.select("tenant", F.explode(links).alias("e")).select("tenant", F.col("e.source").alias("src"), F.col("e.target").alias("dst"), "e.relation", F.coalesce("e.permissions", F.array().cast("array<string>")).alias("permissions"))
+    return principals, edges
+
+
+def identity_risks(documents: DataFrame) -> DataFrame:
+    """tenant, risk, severity, principal of directory snapshots (tenant, doc JSON)."""
+    user = F.from_json(F.get_json_object("doc", "$.users"), "array<struct<id:string,name:string,mfa:boolean,preauth_disabled:boolean,admin:boolean,synced:boolean>>")
+    service = F.from_json(F.get_json_object("doc", "$.service_principals"), "array<struct<id:string,secrets:array<string>,permissions:array<string>>>")
+    grant = F.from_json(F.get_json_object("doc", "$.grants"), "array<struct<principal:string,permissions:array<string>>>")
+    access = F.from_json(F.get_json_object("doc", "$.conditional_access"), "array<struct<state:string,require_mfa:boolean,covers_all_users:boolean>>")
+    risk = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("risk"), F.lit(severity).alias("severity")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def rows(items, who, risks):
+        x = documents.select("tenant", F.explode(items).alias("x"))
+        return x.select("tenant", F.explode(F.array_compact(F.array(*risks))).alias("r"), F.coalesce(*who, F.lit("unknown")).alias("principal")).select("tenant", "r.risk", "r.severity", "principal")
+
+    u, s, g = (lambda f: F.col(f"x.{f}"),) * 3
+    wide = F.transform(F.coalesce(g("permissions"), F.array()), lambda p: F.lower(p))
+    parts = [
+        rows(user, [u("id"), u("name")], [risk(~yes(u("mfa")), "no_mfa", "HIGH"), risk(yes(u("preauth_disabled")), "no_preauthentication", "HIGH"), risk(yes(u("admin")) & yes(u("synced")), "synced_admin", "CRITICAL")]),
+        rows(service, [s("id")], [risk(F.size(F.coalesce(s("secrets"), F.array())) > 0, "static_secret", "HIGH"), risk(F.array_contains(F.coalesce(s("permissions"), F.array()), "*"), "global_permission", "CRITICAL")]),
+        rows(grant, [g("principal")], [risk(F.array_contains(wide, "replicating directory changes") & F.array_contains(wide, "replicating directory changes all"), "directory_replication", "CRITICAL")]),
+    ]
+    full = F.exists(access, lambda p: (p["state"] == "enabled") & yes(p["require_mfa"]) & yes(p["covers_all_users"]))
+    parts.append(documents.where((F.size(access) > 0) & ~yes(full)).select("tenant", F.lit("mfa_not_for_all").alias("risk"), F.lit("CRITICAL").alias("severity"), F.lit("tenant").alias("principal")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
