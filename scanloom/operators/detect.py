@@ -25,14 +25,16 @@ def each_match(df: DataFrame, column: str, pattern: str, alias: str, group: int
 def entropy_findings(lines: DataFrame, column: str = "line") -> DataFrame:
     """Assignments of strings that look random, or that are named like a secret: adds variable_name, value, entropy, charset.
 
-    Comment lines are skipped; a variable counts once per line; null lines give none.
+    Comment lines are skipped; a variable counts once per line, by its first value found; null lines give none.
     """
     names = F.regexp_extract_all(F.col(column), F.lit(_ASSIGN), F.lit(1))
     values = F.regexp_extract_all(F.col(column), F.lit(_ASSIGN), F.lit(2))
-    rows = lines.where(~F.col(column).rlike(_COMMENT)).withColumn("_p", F.explode(F.arrays_zip(names.alias("n"), values.alias("v"))))
+    rows = lines.where(~F.col(column).rlike(_COMMENT)).select("*", F.posexplode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("_at", "_p"))
     rows = rows.withColumns({"variable_name": F.col("_p")["n"], "value": F.col("_p")["v"]}).drop("_p")
     rows = rows.withColumns({"entropy": F.round(shannon(F.col("value")), 3), "charset": charset(F.col("value"))})
-    return rows.where((F.col("entropy") >= entropy_threshold(F.col("charset"))) | ((F.col("entropy") >= 3.0) & has_secret_hint(F.col("variable_name")))).dropDuplicates([*[c for c in lines.columns], "variable_name"])
+    rows = rows.where((F.col("entropy") >= entropy_threshold(F.col("charset"))) | ((F.col("entropy") >= 3.0) & has_secret_hint(F.col("variable_name"))))
+    found = ("value", "entropy", "charset")
+    return rows.groupBy(*lines.columns, "variable_name").agg(F.min_by(F.struct(*found), "_at").alias("_f")).select(*lines.columns, "variable_name", *[F.col("_f")[c].alias(c) for c in found])
 
 
 def masked_secret(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scanloom.functions.paths import path_form
-from scanloom.operators import baseline, reports, rules
+from scanloom.operators import baseline, callees, reports, rules
 from scanloom.operators.snapshots import SEVERITIES
 from scanloom.session import spread, table
 
@@ -42,6 +42,27 @@ def scan_report(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(F.broadcast(rules.rule_table(spark)), "ord").select("rule_id", "severity", "category", "hits", "files")
 
 
+def call_findings(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue of dangerous calls over all source lines kept in findings."""
+    return callees.match_calls(_source_lines(spark, d)).select("row_id", "rule_id", "category", "severity")
+
+
+def call_report(spark: SparkSession, d: str) -> DataFrame:
+    return callees.match_calls(_source_lines(spark, d)).groupBy("category", "severity").agg(F.count("*").alias("hits"), F.countDistinct("file_path").alias("files"))
+
+
+def _call_sql() -> str:
+    rows = []
+    for language, families in callees.CALLS.items():
+        for family, names in families.items():
+            for lang in (language, *{"JavaScript": ["TypeScript"], "C": ["C++"]}.get(language, [])):
+                rows += [f"({_quote(lang)}, {_quote(n)}, {_quote(f'CALL-{language}-{family}-{n}')}, {_quote(callees.FAMILIES[family][0])}, {_quote(callees.FAMILIES[family][1])})" for n in names.split()]
+    return f"""WITH cat AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(language, callee, rule_id, category, severity)),
+nm AS (SELECT row_id, {_P} AS file_path, language, string_split(unnest(regexp_extract_all(line_content, {_quote(callees.CALLED)}, 1)), '.') AS p FROM findings WHERE line_content IS NOT NULL AND language IS NOT NULL),
+ends AS (SELECT DISTINCT row_id, file_path, language, array_to_string(p[k:], '.') AS callee FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM nm)),
+hit AS (SELECT row_id, file_path, rule_id, category, severity FROM ends JOIN cat USING (language, callee)) """
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -209,7 +230,7 @@ st AS (SELECT coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.file_path, b
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_findings, scan_report, report_by_scan, dedup_findings, min_severity, severity_override, global_suppress, flat_sort, top_categories, top_rules_per_language, severity_pivot_heatmap, risk_grade,
+        scan_findings, scan_report, call_findings, call_report, report_by_scan, dedup_findings, min_severity, severity_override, global_suppress, flat_sort, top_categories, top_rules_per_language, severity_pivot_heatmap, risk_grade,
         quality_gate, longitudinal_delta, trend_history, compliance_report, compliance_score, compliance_map, risk_rank, finding_features, baseline_status, drift, detect_language, scannable_paths,
     )
 } | {f"baseline_{s}": _baseline(s) for s in ("new", "resolved", "regression", "unchanged")}
@@ -217,6 +238,8 @@ QUERIES = {
 SQL = {
     "scan_findings": f"SELECT row_id, rule_id, severity, category FROM ({_rule_sql()})",
     "scan_report": f"SELECT rule_id, severity, category, count(*) AS hits, count(DISTINCT file_path) AS files FROM ({_rule_sql()}) GROUP BY 1, 2, 3",
+    "call_findings": _call_sql() + "SELECT row_id, rule_id, category, severity FROM hit",
+    "call_report": _call_sql() + "SELECT category, severity, count(*) AS hits, count(DISTINCT file_path) AS files FROM hit GROUP BY 1, 2",
     "report_by_scan": CURRENT + f"SELECT scan_id, count(*) AS total, {_COUNTS}, count(DISTINCT file_path) AS files_with_issues, count(DISTINCT rule_id) AS rules FROM cf GROUP BY scan_id",
     "dedup_findings": CURRENT + "SELECT row_id, scan_id, rule_id, file_path, line_number, severity FROM cf",
     "min_severity": CURRENT + "SELECT row_id, severity, rule_id FROM cf WHERE severity_rank >= 4",

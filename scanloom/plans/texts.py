@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scanloom.functions.text import BLANK, charset, shannon, split_lines
+from scanloom.functions.text import BLANK, SECRET_HINTS, charset, shannon, split_lines
 from scanloom.operators import code, detect, reports
 from scanloom.session import table
 
@@ -24,7 +24,7 @@ def file_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def brace_depth(spark: SparkSession, d: str) -> DataFrame:
-    return code.brace_depth(_lines(spark, d)).where(F.col("line").rlike("[{}]")).select("doc_id", "line_number", "depth")
+    return code.brace_depth(_lines(spark, d)).select("doc_id", "line_number", "depth")
 
 
 def deep_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -36,13 +36,13 @@ def function_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """Three lines on either side of lines that hold code fences."""
-    rows = code.snippets(_lines(spark, d)).where(F.col("line").startswith("```"))
+    """Three lines on either side of every line."""
+    rows = code.snippets(_lines(spark, d))
     return rows.select("doc_id", "line_number", F.array_join("snippet", "\n").alias("snippet"), "snippet_start_line")
 
 
 def duplication_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return code.duplicate_blocks(_lines(spark, d), 3).withColumnRenamed("file_path", "doc_id")
+    return code.duplicate_blocks(_lines(spark, d), 1).withColumnRenamed("file_path", "doc_id")
 
 
 def shingle_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +109,7 @@ QUERIES = {
     )
 }
 
+_sq = lambda t: "'" + t.replace("'", "''") + "'"
 #: Line ends of ``split_lines`` in RE2 (which knows no \u escapes).
 _ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 _LINES = f"""WITH x AS (SELECT doc_id, string_split_regex(text, '{_ENDS}') AS p FROM documents WHERE text IS NOT NULL),
@@ -122,18 +123,18 @@ _TOKENS = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\r\f\x0B]"
 SQL = {
     "lines_explode": _LINES + "SELECT doc_id, line_number, line FROM l",
     "file_length": _LINES + "SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(line, '" + BLANK + "')) AS code_lines FROM l GROUP BY 1 HAVING code_lines > 0",
-    "brace_depth": _LINES + f"SELECT doc_id, line_number, depth FROM (SELECT doc_id, line_number, line, {_DEPTH} AS depth FROM l) WHERE regexp_matches(line, '[{{}}]')",
+    "brace_depth": _LINES + f"SELECT doc_id, line_number, depth FROM (SELECT doc_id, line_number, line, {_DEPTH} AS depth FROM l)",
     "deep_lines": _LINES + f"""SELECT doc_id, max(raw - low)::BIGINT AS max_depth FROM (SELECT doc_id, raw, least(min(raw) OVER (PARTITION BY doc_id ORDER BY line_number), 0) AS low FROM (SELECT doc_id, line_number, {_DEPTH} AS raw FROM l)) GROUP BY 1""",
     "function_context": _LINES + f"""SELECT doc_id, line_number, c AS function_context FROM (SELECT doc_id, line_number, last_value(nm IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS c
 FROM (SELECT doc_id, line_number, nullif(regexp_extract(line, '{code.DEFINITION}', 1), '') AS nm FROM l)) WHERE c IS NOT NULL""",
     "snippets": _LINES + """SELECT doc_id, line_number, s AS snippet, f AS snippet_start_line FROM (SELECT doc_id, line_number, line, string_agg(line, chr(10)) OVER w AS s, min(line_number) OVER w AS f FROM l
-WINDOW w AS (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE starts_with(line, '```')""",
+WINDOW w AS (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))""",
     "duplication_blocks": _LINES + r""", q AS (SELECT doc_id, line_number, lower(trim(regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"|''[^'']*''', 'S', 'g'), '\b[0-9]+\b', 'N', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS n FROM l),
 b AS (SELECT doc_id, line_number, (n <> '' AND NOT regexp_matches(n, '^[{}()\[\];,]*$|^(?:#|//|\*|/\*|--)') AND len(string_split(n, ' ')) >= 3) AS ok,
-  md5(string_agg(md5(n), '|') OVER w) AS fp, count(*) OVER w AS k FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
-p AS (SELECT doc_id, line_number, min(line_number) OVER (PARTITION BY doc_id, fp ORDER BY line_number RANGE BETWEEN 3 FOLLOWING AND UNBOUNDED FOLLOWING) AS dup FROM b WHERE ok AND k = 3),
+  md5(string_agg(md5(n), '|') OVER w) AS fp, count(*) OVER w AS k FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN CURRENT ROW AND 0 FOLLOWING)),
+p AS (SELECT doc_id, line_number, min(line_number) OVER (PARTITION BY doc_id, fp ORDER BY line_number RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS dup FROM b WHERE ok AND k = 1),
 r AS (SELECT doc_id, line_number, dup, dup - line_number AS d, line_number - row_number() OVER (PARTITION BY doc_id, dup - line_number ORDER BY line_number) AS g FROM p WHERE dup IS NOT NULL)
-SELECT doc_id, min(line_number) AS line_start, min(dup) AS duplicate_start, count(*) + 2 AS lines_duplicated FROM r GROUP BY doc_id, d, g""",
+SELECT doc_id, min(line_number) AS line_start, min(dup) AS duplicate_start, count(*) AS lines_duplicated FROM r GROUP BY doc_id, d, g""",
     "shingle_jaccard": rf"""WITH t AS (SELECT row_id, regexp_extract_all(regexp_replace(line_content, '#[^\n]*|//[^\n]*', '', 'g'), '{_TOKENS}') AS k,
   regexp_extract_all(regexp_replace(array_to_string(snippet, chr(10)), '#[^\n]*|//[^\n]*', '', 'g'), '{_TOKENS}') AS j FROM findings WHERE line_content IS NOT NULL AND snippet IS NOT NULL),
 p AS (SELECT row_id, list_distinct(list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], chr(31)))) AS f, list_distinct(list_transform(range(1, len(j) - 3), lambda i: array_to_string(j[i:i + 4], chr(31)))) AS g FROM t)
@@ -144,6 +145,12 @@ s AS (SELECT doc_id, markers, abs(al - mean) / greatest(mean, 1.0) + markers * 0
 n AS (SELECT row_id, v, c, count(c) AS k FROM c GROUP BY 1, 2, 3),
 e AS (SELECT row_id, v, CASE WHEN v = '' THEN 0.0 ELSE -sum(k / length(v)::DOUBLE * log2(k / length(v)::DOUBLE)) END AS bits FROM n GROUP BY 1, 2)
 SELECT row_id, round(bits, 3) + 0.0 AS bits, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 'hex' WHEN regexp_full_match(v, '[A-Za-z0-9+/]+=*') AND length(v) >= 20 THEN 'base64' ELSE 'alnum' END AS kind FROM e""",
+    "entropy_findings": f"""WITH l AS (SELECT row_id, line_content AS line FROM entropy_findings WHERE line_content IS NOT NULL AND NOT regexp_matches(line_content, {_sq(detect._COMMENT)})),
+m AS (SELECT row_id, unnest(regexp_extract_all(line, {_sq(detect._ASSIGN)}, 1)) AS n, unnest(regexp_extract_all(line, {_sq(detect._ASSIGN)}, 2)) AS v, unnest(range(1, len(regexp_extract_all(line, {_sq(detect._ASSIGN)}, 1)) + 1)) AS k FROM l),
+c AS (SELECT row_id, n, v, k, unnest(string_split(v, '')) AS c FROM m), f AS (SELECT row_id, n, v, k, c, count(*) AS q FROM c GROUP BY ALL),
+e AS (SELECT row_id, n, v, k, round(-sum(q / length(v)::DOUBLE * log2(q / length(v)::DOUBLE)), 3) AS bits, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN 'hex' WHEN regexp_full_match(v, '[A-Za-z0-9+/]+=*') AND length(v) >= 20 THEN 'base64' ELSE 'alnum' END AS kind FROM f GROUP BY 1, 2, 3, 4),
+h AS (SELECT * FROM e WHERE bits >= CASE kind WHEN 'hex' THEN 3.5 WHEN 'base64' THEN 4.5 ELSE 4.0 END OR (bits >= 3.0 AND regexp_matches(lower(n), {_sq('|'.join(SECRET_HINTS))})))
+SELECT row_id, n AS variable_name, arg_min(kind, k) AS charset, arg_min(length(v), k)::INT AS n_chars FROM h GROUP BY row_id, n""",
     "masked_secrets": "SELECT row_id, CASE WHEN length(secret_value) > 16 THEN left(secret_value, 8) || '...' || right(secret_value, 4) ELSE secret_value END AS masked FROM entropy_findings WHERE secret_value IS NOT NULL",
     "pii_email": f"SELECT doc_id, count(*) AS n, min(m) AS first FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{detect.EMAIL}')) AS m FROM documents) GROUP BY 1",
     "pii_cpf": r"""WITH m AS (SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9]{3}[.][0-9]{3}[.][0-9]{3}[-/][0-9]{2}')), '[^0-9]', '', 'g') AS digits FROM documents),
