@@ -75,7 +75,10 @@ def called_names(line: Column) -> Column:
 def match_calls(lines: DataFrame, column: str = "line") -> DataFrame:
     """Lines (with language) times the call rules they meet: the lines' columns, rule_id, category, severity, cwe; each rule once a line.
 
-    Null lines and languages meet none.  The catalogue is a constant of a few hundred rows, hence the broadcast.
+    Null lines and languages meet none; columns of the lines that are named like the rules' are replaced.  The catalogue is
+    a constant of a few hundred rows, hence the broadcast.
     """
-    names = lines.where("language is not null").withColumn("callee", F.explode(called_names(F.col(column))))
-    return names.join(F.broadcast(catalogue(lines.sparkSession)), ["language", "callee"]).drop("callee")
+    rules = catalogue(lines.sparkSession).withColumnRenamed("callee", "_callee")
+    own = lines.drop("rule_id", "category", "severity", "cwe")
+    names = own.where("language is not null").withColumn("_callee", F.explode(called_names(F.col(column))))
+    return names.join(F.broadcast(rules), ["language", "_callee"]).drop("_callee")
